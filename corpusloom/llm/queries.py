@@ -15,13 +15,25 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_read(spark, sf_dir, "pages"))
 
 
+def op7_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(_read(spark, sf_dir, "documents"))
+
+
 def op8_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
     return shard_documents(_read(spark, sf_dir, "documents"), 24)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op8_minimax_sharding)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op7_mixture_packing, op8_minimax_sharding, op10_toxicity)}
 
 #: DuckDB SQL for the rows of a query, where SQL can express it.
 ORACLES: dict[str, str] = {
