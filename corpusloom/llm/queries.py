@@ -15,6 +15,12 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_read(spark, sf_dir, "pages"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contamination
+
+    return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op7_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -27,13 +33,19 @@ def op8_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_read(spark, sf_dir, "documents"), 24)
 
 
+def op9_id_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .idmatrix import write_and_digest
+
+    return write_and_digest(_read(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
     return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op7_mixture_packing, op8_minimax_sharding, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_warc, op5_decontamination, op7_mixture_packing, op8_minimax_sharding, op9_id_matrix, op10_toxicity)}
 
 #: DuckDB SQL for the rows of a query, where SQL can express it.
 ORACLES: dict[str, str] = {
@@ -44,4 +56,12 @@ ORACLES: dict[str, str] = {
                CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
         FROM f""",
+    "op5_decontamination": r"""
+        WITH i AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+             d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+             s AS (SELECT DISTINCT item_id, least(5, len(w)) AS m, unnest(list_transform(range(1, greatest(len(w) - 5, 0) + 2), lambda k: array_to_string(w[k:k + least(5, len(w)) - 1], ' '))) AS g FROM i WHERE len(w) > 0),
+             n AS (SELECT item_id, count(*) AS n FROM s GROUP BY item_id),
+             h AS (SELECT DISTINCT doc_id, m, unnest(list_transform(range(1, len(w) - m + 2), lambda k: array_to_string(w[k:k + m - 1], ' '))) AS g FROM d, (SELECT DISTINCT m FROM s) WHERE len(w) >= m),
+             c AS (SELECT doc_id, item_id, count(*) AS n_shared FROM h JOIN s USING (m, g) GROUP BY doc_id, item_id)
+        SELECT doc_id, item_id, n AS n_item_shingles, n_shared FROM c JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n""",
 }

@@ -43,7 +43,7 @@ def test_every_id_once_and_mixture(spark):
     rng = random.Random(4)
     words = [f"word{i}" for i in range(200)]
     rows = [(i, " ".join(rng.choices(words, k=rng.randrange(0, 300))), "abc"[min(2, i % 4)], 0) for i in range(300)]
-    rows += [(1000 + i, t, None, 0) for i, t in enumerate(ODD)] + [(2000, None, "a", 0), (None, "null id", "b", 0), (5, rows[5][1], "a", 0)]
+    rows += [(1000 + i, t, None, 0) for i, t in enumerate(ODD)] + [(2000, None, "a", 0), (None, "null id", "b", 0), (5, rows[5][1], rows[5][2], 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, length int").repartition(3)
     got = packing.pack(docs).collect()
     pieces, windows = defaultdict(list), defaultdict(list)

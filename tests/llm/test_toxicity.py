@@ -55,6 +55,6 @@ def test_l1_gives_sparse_weights():
     examples = []
     for i in range(600):
         y = i % 3 == 0
-        examples.append((np.unique(np.append(rng.integers(10, 2000, 30), [3] * y)), int(y)))
+        examples.append((np.unique(np.append(rng.integers(10, 2000, 30), 3 if y else 11)), int(y)))
     kept, w, bias = tx.fit(examples, tx.Settings(bits=11)).compact()
     assert 3 in kept and len(kept) < 50 and w[list(kept).index(3)] > 1 > bias
