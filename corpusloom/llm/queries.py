@@ -21,6 +21,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngramjoin import jaccard_components
+
+    return jaccard_components(_read(spark, sf_dir, "documents"))
+
+
 def op7_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -45,7 +51,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op5_decontamination, op7_mixture_packing, op8_minimax_sharding, op9_id_matrix, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_warc, op5_decontamination, op6_jaccard_join, op7_mixture_packing, op8_minimax_sharding, op9_id_matrix, op10_toxicity)}
 
 #: DuckDB SQL for the rows of a query, where SQL can express it.
 ORACLES: dict[str, str] = {
@@ -64,4 +70,14 @@ ORACLES: dict[str, str] = {
              h AS (SELECT DISTINCT doc_id, m, unnest(list_transform(range(1, len(w) - m + 2), lambda k: array_to_string(w[k:k + m - 1], ' '))) AS g FROM d, (SELECT DISTINCT m FROM s) WHERE len(w) >= m),
              c AS (SELECT doc_id, item_id, count(*) AS n_shared FROM h JOIN s USING (m, g) GROUP BY doc_id, item_id)
         SELECT doc_id, item_id, n AS n_item_shingles, n_shared FROM c JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n""",
+    "op6_jaccard_join": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+             s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 5, 0) + 2), lambda k: array_to_string(w[k:k + 4], ' '))) AS g FROM d WHERE len(w) > 0),
+             n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+             p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+             l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+             e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+             r AS (SELECT doc_id, doc_id AS m FROM d UNION SELECT e.y, r.m FROM r JOIN e ON e.x = r.doc_id),
+             c AS (SELECT doc_id, min(m) AS m FROM r GROUP BY doc_id)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, m AS component_id FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)""",
 }
