@@ -15,6 +15,18 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_read(spark, sf_dir, "pages"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixdedup import kept_text
+
+    return kept_text(_read(spark, sf_dir, "documents"))
+
+
+def op4_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .anchordedup import kept_words
+
+    return kept_words(_read(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import contamination
 
@@ -51,7 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op5_decontamination, op6_jaccard_join, op7_mixture_packing, op8_minimax_sharding, op9_id_matrix, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_suffix_dedup, op4_anchor_dedup, op5_decontamination, op6_jaccard_join, op7_mixture_packing, op8_minimax_sharding, op9_id_matrix, op10_toxicity)}
 
 #: DuckDB SQL for the rows of a query, where SQL can express it.
 ORACLES: dict[str, str] = {
@@ -62,6 +74,24 @@ ORACLES: dict[str, str] = {
                CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
         FROM f""",
+    "op2_suffix_dedup": r"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+             b AS (SELECT doc_id, h, unnest(range(0, len(h) // 2)) AS i FROM d),
+             w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS x, CASE WHEN 2 * i + 200 <= len(h) THEN md5(substr(h, 2 * i + 1, 200)) END AS g FROM b),
+             f AS (SELECT doc_id, i, x, (g IS NOT NULL AND row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1)::INT AS again FROM w),
+             r AS (SELECT doc_id, i, x, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM f),
+             e AS (SELECT *, (gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0)::INT AS begins FROM r),
+             a AS (SELECT doc_id, count(*) AS n, sum(gone)::BIGINT AS gone, sum(begins)::BIGINT AS spans, string_agg(x, '' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM e GROUP BY doc_id)
+        SELECT doc_id, coalesce(n, 0)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+        FROM d LEFT JOIN a USING (doc_id)""",
+    "op4_anchor_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+             b AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+             s AS (SELECT doc_id, i, w[i] AS x, CASE WHEN i + 19 <= len(w) THEN array_to_string(w[i:i + 19], ' ') END AS g FROM b),
+             f AS (SELECT doc_id, i, x, (g IS NOT NULL AND row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1)::INT AS again FROM s),
+             r AS (SELECT doc_id, i, x, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM f),
+             a AS (SELECT doc_id, sum(gone)::BIGINT AS gone, string_agg(x, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM r GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)""",
     "op5_decontamination": r"""
         WITH i AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
              d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
