@@ -21,6 +21,12 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_text(_read(spark, sf_dir, "documents"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .crosspolytope import nearest_neighbours
+
+    return nearest_neighbours(_read(spark, sf_dir, "embeddings"))
+
+
 def op4_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .anchordedup import kept_words
 
@@ -63,7 +69,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_suffix_dedup, op4_anchor_dedup, op5_decontamination, op6_jaccard_join, op7_mixture_packing, op8_minimax_sharding, op9_id_matrix, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_suffix_dedup, op3_nearest_neighbours, op4_anchor_dedup, op5_decontamination, op6_jaccard_join, op7_mixture_packing, op8_minimax_sharding, op9_id_matrix, op10_toxicity)}
 
 #: DuckDB SQL for the rows of a query, where SQL can express it.
 ORACLES: dict[str, str] = {
