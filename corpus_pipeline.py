@@ -1,10 +1,82 @@
-"""Corpus pipeline: stages that read documents and write documents."""
+"""Corpus pipeline: five stages, each reading and (but for the last) returning documents.
+
+Toxic documents go; of near copies one stays; text that starts earlier elsewhere
+goes; documents that hold a benchmark item go; the rest is packed for training.
+Every stage is judged on what its predecessor kept.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.llm import scratch
+from corpusloom.llm.decontamination import decontaminated
+from corpusloom.llm.ngramjoin import jaccard_components
+from corpusloom.llm.packing import pack
+from corpusloom.llm.suffixdedup import kept_text
+from corpusloom.llm.toxicity import with_score
+
+
+def _stage(k: int, f):
+    """Tables that stage k makes belong to it; those of stage k - 1 go, since its result has been written."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        scratch.release(f"pipeline-{k - 1}")
+        with scratch.owned_by(f"pipeline-{k}"):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.5."""
+    scored = with_score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.where("score < 0.5").select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group of near copies, once; documents without an id stay."""
+    found = jaccard_components(docs)
+    counted = scratch.written(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept-ids")
+    kept = docs.join(counted.select("doc_id"), "doc_id", "left_semi")
+    if counted.where("rows > 1").head(1):
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of 100-byte strings that start earlier; half characters at a cut go too."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    cut = kept_text(docs, with_text=True, extra=others)
+    columns = {"doc_id": F.col("doc_id"), "text": F.col("kept"), **{c: F.col(f"x{i}") for i, c in enumerate(others)}}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return cut.select(*(columns[c].alias(c) for c in docs.columns))
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item to 80 percent of its shingles."""
+    return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece of the packed windows."""
+    return pack(docs)
+
+
+STAGES = [(f.__name__, _stage(k, f)) for k, f in enumerate((not_toxic, one_of_each_group, without_repeats, without_benchmark, packed))]
+
+#: Toxicity and packing can't be expressed in SQL; tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            with scratch.owned_by(f"pipeline-{k + 1}-input"):
+                docs = scratch.written(docs, f"stage-{name}")
+            scratch.release(f"pipeline-{k}-input")
+    return docs
