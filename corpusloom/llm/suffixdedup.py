@@ -103,7 +103,8 @@ def byte_unit(width: int = WIDTH) -> Unit:
 
 
 def kept_text(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, extra: list[str] | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with ``with_text`` also kept (binary), and columns ``extra`` of ``docs``.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with ``with_text`` also kept (a string,
+    without what a cut has left of a split character), and columns ``extra`` of ``docs``.
 
     Texts are whole UTF-8 bytes; a null text is empty, and texts shorter than
     ``width`` lose nothing.  Rows with a null id neither lose bytes nor make
@@ -127,14 +128,14 @@ def kept_text(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_
                     removed += b - a
                     at = b
             left = b"".join([*kept, raw[at:]])
-            rows.append((len(raw), removed, len(kept), hashlib.sha256(left).hexdigest(), left if with_text else None))
+            rows.append((len(raw), removed, len(kept), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if with_text else None))
         columns = list(zip(*rows)) or [[]] * 5
-        made = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
+        made = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
         names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
         if not with_text:
             made, names = made[:4], names[:4]
         yield pa.RecordBatch.from_arrays([part.column(0), *made, *part.columns[2:]], names=["doc_id", *names, *(f"x{i}" for i in range(len(extra)))])
 
     kinds = [f"x{i} {whole.schema[f'x{i}'].dataType.simpleString()}" for i in range(len(extra))]
-    schema = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", *(["kept binary"] if with_text else []), *kinds])
+    schema = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", *(["kept string"] if with_text else []), *kinds])
     return beside_documents(whole, spans, SPAN, buckets, handle, schema)
