@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
+from ..functions import tensors
 from ..functions import text as T
-from ..operators import cleaning, dedup, extract, metrics, quality, sampling, schedule, splits
+from ..operators import cleaning, dedup, extract, metrics, quality, report, sampling, schedule, splits
 from ..operators.ordering import range_bucket, ranked
 
 QUERIES: dict = {}
@@ -440,6 +441,48 @@ def multinomial_draw(spark, sf_dir):
     return sampling.drawn(sampling.top_k(logits(spark, sf_dir), "vec_id", 40), "vec_id", "token_id", 42)
 
 
+@query("""SELECT vec_id, list_transform(embedding, lambda v: floor(v / sqrt(list_sum(list_transform(embedding, lambda w: w::DOUBLE * w::DOUBLE)) / len(embedding) + 1e-6::DOUBLE) * 1e6 + 0.5)::BIGINT) AS millionths FROM embeddings""")
+def rms_norm(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    return T.with_barrier(e, n=tensors.rms_norm(F.col("e"))).select("vec_id", F.transform("n", micro).alias("millionths"))
+
+
+@query("""SELECT vec_id, list_transform(range(0, 64), lambda i: floor(CASE WHEN i % 2 = 0
+    THEN embedding[i + 1]::DOUBLE * cos(vec_id / pow(10000.0::DOUBLE, i / 64)) - embedding[i + 2]::DOUBLE * sin(vec_id / pow(10000.0::DOUBLE, i / 64))
+    ELSE embedding[i]::DOUBLE * sin(vec_id / pow(10000.0::DOUBLE, (i - 1) / 64)) + embedding[i + 1]::DOUBLE * cos(vec_id / pow(10000.0::DOUBLE, (i - 1) / 64)) END * 1e6 + 0.5)::BIGINT) AS millionths FROM embeddings""")
+def rotary_embedding(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    return T.with_barrier(e, r=tensors.rotary(F.col("e"), 64, F.col("vec_id"))).select("vec_id", F.transform("r", micro).alias("millionths"))
+
+
+@query("""SELECT vec_id, list_transform(range(1, 33), lambda i: floor(embedding[i]::DOUBLE / (1 + exp(-embedding[i]::DOUBLE)) * embedding[i + 32]::DOUBLE * 1e6 + 0.5)::BIGINT) AS millionths FROM embeddings""")
+def gated_unit(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    return e.select("vec_id", F.transform(tensors.gated(F.slice("e", 1, 32), F.slice("e", 33, 32)), micro).alias("millionths"))
+
+
+@query("SELECT i, j FROM range(0, 128) a(i), range(0, 128) b(j) WHERE j <= i AND i - j < 16")
+def causal_window(spark, sf_dir):
+    return tensors.visible_pairs(spark, 128, 16)
+
+
+@query(f"""SELECT floor(avg(-0.9 * hit - 0.1 * mean) * 1e4 + 0.5)::BIGINT AS loss_ten_thousandths, count(*) AS "rows" FROM
+    (SELECT vec_id, max(CASE WHEN token_id = label THEN lp END) AS hit, avg(lp) AS mean FROM (SELECT vec_id, token_id, logit - ln(sum(exp(logit)) OVER (PARTITION BY vec_id)) AS lp FROM {LOGITS}) JOIN embeddings USING (vec_id) WHERE label <> 0 GROUP BY vec_id)""")
+def cross_entropy(spark, sf_dir):
+    targets = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    c = tensors.cross_entropy(logits(spark, sf_dir), targets, "vec_id", "token_id", "logit", "label", 0, 0.1)
+    return c.select(F.floor(F.col("loss") * 1e4 + 0.5).cast("long").alias("loss_ten_thousandths"), "rows")
+
+
+@query(f"""SELECT (SELECT count(*) FROM documents) AS n_documents, (SELECT count(*) FROM {PAIRS} WHERE u <> '' AND a <> '') AS n_pairs""")
+def evaluation_report(spark, sf_dir):
+    """The nested report's counts, read back from its JSON."""
+    parts = {"corpus": table(spark, sf_dir, "documents").agg(F.count("*").alias("n")), "pairs": pairs(spark, sf_dir).agg(F.count("*").alias("n")), "bleu": bleu(spark, sf_dir)}
+    j = report.as_json(report.nested(parts))
+    number = lambda path: F.get_json_object("value", path).cast("long")
+    return j.select(number("$.corpus.n").alias("n_documents"), number("$.pairs.n").alias("n_pairs"))
+
+
 # --- training log --------------------------------------------------------------------------------------------------
 @query("""SELECT s AS step, floor((CASE WHEN s < 200 THEN 3e-4::DOUBLE * (s + 1) / 200 ELSE 3e-5::DOUBLE + 0.5 * (1 + cos(pi() * ((s - 200)::DOUBLE / 9800))) * (3e-4::DOUBLE - 3e-5::DOUBLE) END) * 1e9)::BIGINT AS lr_billionths FROM range(0, 10000, 7) t(s)""")
 def lr_schedule(spark, sf_dir):

@@ -35,3 +35,13 @@ def flattened(sections: dict, renames: dict[str, str] | None = None) -> dict:
 def resolved(sections: dict | None = None, explicit: dict | None = None, renames: dict[str, str] | None = None) -> RunSettings:
     given = {k: v for k, v in (explicit or {}).items() if v is not None}
     return replace(RunSettings(), **flattened(sections or {}, renames) | given)
+
+
+def load_yaml(path: str, explicit: dict | None = None, renames: dict[str, str] | None = None) -> RunSettings:
+    """Settings from a YAML file, where a YAML library is installed."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("reading YAML needs the yaml package; pass parsed sections to resolved()") from e
+    with open(path, encoding="utf-8") as f:
+        return resolved(yaml.safe_load(f) or {}, explicit, renames)

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.__main__ import main
 from corpusloom.operators import cleaning, dedup, extract
 from corpusloom.plans.checkpoints import ensure_checkpoint_dir
 from corpusloom.sources import jsonl, settings
@@ -97,3 +98,10 @@ def test_parallel_records(spark):
     assert sorted((r.line, r.hi, r.en) for r in shared.rows.collect()) == [(0, hi, "first one")]
     alone = cleaning.clean_json(lines, "parallel", dedup_keys="sides")
     assert sorted((r.line, r.hi, r.en) for r in alone.rows.collect()) == [(0, hi, "first one"), (2, other, "")]
+
+
+def test_command_line(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("\n".join(LINES) + "\n", encoding="utf-8")
+    got = main(["clean", "--schema", "monolingual", "--input", f"{tmp_path}/a.jsonl", "--output", f"{tmp_path}/clean"], spark)
+    assert got == {"n_in": len(LINES), "n_out": 1, "seen": 3, "passed": 1, "low_quality": 1, "duplicate": 1}
+    assert main(["tokenizer-corpus", "--input", f"{tmp_path}/a.jsonl", "--output", f"{tmp_path}/corpus", "--max_lines", "2"], spark) == {"written": 2}
