@@ -31,8 +31,9 @@ def _stage(k: int, f):
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5."""
-    scored = with_score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.where("score < 0.5").select(*docs.columns)
+    name = "_".join(["score", *docs.columns])  # a name that no column has
+    scored = with_score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), score_col=name)
+    return scored.where(F.col(name) < 0.5).drop(name)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
