@@ -167,8 +167,8 @@ def scored(batches: Iterator, weights: np.ndarray, used: np.ndarray, bias: float
         yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, "score"])
 
 
-def with_score(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (columns ``keep``, all by default) with a double ``score``, one row per input row.
+def with_score(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: list[str] | None = None, score_col: str = "score") -> DataFrame:
+    """``docs`` (columns ``keep``, all by default) with a double ``score_col``, one row per input row.
 
     Null and empty texts get the score of the bias; without usable labels every
     score is 0.5.  Null ids are scored like others and are never learned from;
@@ -193,7 +193,7 @@ def with_score(docs: DataFrame, labels: DataFrame, settings: Settings = Settings
             yield batch.select([c for c in batch.schema.names if c != "scored_text"])
 
     out = inner.mapInArrow(score, f"{schema}, score double")
-    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), "score")
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), F.col("score").alias(score_col))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -42,6 +42,22 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert len(names) == 5 and {r.doc_id for r in docs.select("doc_id").distinct().collect()} == set(seen)
 
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    word = "plain words that say nothing bad about anyone at all and go on for a while so that there is text"
+    rows = [(1, word, "en", "a", 1, 0.5, ["x"], "k"), (1, word, "en", "a", 1, 0.5, ["x"], "k"), (2, word, None, None, None, None, None, None), (None, word, "en", "a", 1, 0.1, [], "k"), (3, None, "en", "b", None, 0.1, [], "k"), (4, "", "en", "b", 0, 0.1, [], "k"), (5, "é" * 9000, "fr", "c", 9000, 0.2, [], "k")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, node array<string>, kept string"
+    for name, some in (("rows", rows), ("none", [])):
+        docs = spark.createDataFrame(some, schema)
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            columns = docs.columns
+            stage(spark, docs, SF).write.parquet(f"{tmp_path}/{name}{k}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}{k}")
+            if k < 4:
+                assert docs.columns == columns
+        got = {r.doc_id for r in docs.collect()}
+        assert got == ({1, None, 3, 4, 5} if some else set())
+
+
 def test_run(spark):
     got = corpus_pipeline.run(spark, SF)
     windows = got.groupBy("sequence_id").sum("length").collect()
