@@ -136,7 +136,7 @@ def _met(dealt: DataFrame, unit: Unit, buckets: int) -> DataFrame:
     """place, spans, requests: by the documents' bucket."""
     spark = dealt.sparkSession
 
-    def settle(anchors: list, spans: list) -> Iterator[pa.RecordBatch]:
+    def settle(anchors: list, spans: list) -> tuple[np.ndarray, np.ndarray]:
         done = [np.concatenate(spans)] if spans else []
         asked = np.zeros(0, REQUEST)
         if anchors:
@@ -150,23 +150,32 @@ def _met(dealt: DataFrame, unit: Unit, buckets: int) -> DataFrame:
             for name in ("doc", "start", "n", "key"):
                 asked[name] = several[name]
             asked["wide"] = runs[runs > 1] > WIDE
-        found = merged(np.concatenate(done)) if done else np.zeros(0, SPAN)
-        yield _two_blobs("place", _blobs(found, xxhash64_long(found["doc"]) % buckets, buckets), _blobs(asked, xxhash64_long(asked["doc"]) % buckets, buckets), ("spans", "requests"))
+        return np.concatenate(done) if done else np.zeros(0, SPAN), asked
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, anchors, spans = None, [], []
+        at, anchors, spans, settled, total = None, [], [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            found, asked = merged(np.concatenate([s[0] for s in settled])), np.concatenate([s[1] for s in settled])
+            return _two_blobs("place", _blobs(found, xxhash64_long(found["doc"]) % buckets, buckets), _blobs(asked, xxhash64_long(asked["doc"]) % buckets, buckets), ("spans", "requests"))
+
         for batch in batches:
             for b, x, y in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 if b != at and at is not None:
-                    yield from settle(anchors, spans)
+                    settled.append(settle(anchors, spans))
+                    total += len(settled[-1][0]) + len(settled[-1][1])
                     anchors, spans = [], []
+                    if total >= FLUSH:
+                        yield flush()
+                        settled, total = [], 0
                 at = b
                 if x.is_valid:
                     anchors.append(np.frombuffer(x.as_buffer(), ANCHOR))
                 if y.is_valid:
                     spans.append(np.frombuffer(y.as_buffer(), SPAN))
         if at is not None:
-            yield from settle(anchors, spans)
+            settled.append(settle(anchors, spans))
+            yield flush()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "place int, spans binary, requests binary")
