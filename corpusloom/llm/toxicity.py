@@ -39,10 +39,7 @@ class Settings:
 
 
 def features(texts: Texts, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of all features, repeats included, and the offsets of documents among them, words first.
-
-    Returns the slot of each feature and the document it belongs to.
-    """
+    """The slot of each feature, repeats included, and the document it belongs to; words first, then pairs and skip-grams."""
     texts = texts.lower()
     part = PART[texts.data]
     n = len(part)
