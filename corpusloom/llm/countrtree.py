@@ -12,13 +12,27 @@ from __future__ import annotations
 import numpy as np
 
 LEAF = 16
-GROUPS = 64
-FULL = np.iinfo(np.uint16).max
+GROUPS = 128
+FULL = np.iinfo(np.uint8).max
+#: Groups of the fine point, which is kept as the sorted groups of all tokens, by differences.
+FINE = 1 << 16
 
 
 def point(tokens: np.ndarray) -> np.ndarray:
     """Counts by group; a full count stands for any larger one."""
-    return np.minimum(np.bincount((tokens & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), FULL).astype(np.uint16)
+    return np.minimum(np.bincount((tokens & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), FULL).astype(np.uint8)
+
+
+def fine_point(tokens: np.ndarray) -> np.ndarray:
+    return np.diff(np.sort((tokens >> np.uint64(32)) & np.uint64(FINE - 1)).astype(np.int32), prepend=0).astype("<u2")
+
+
+def fine_bound(a: np.ndarray, b: np.ndarray) -> int:
+    """Largest possible overlap of two fine points: the sum over groups of the smaller count."""
+    a, b = np.cumsum(a, dtype=np.int64), np.cumsum(b, dtype=np.int64)
+    # Number the tokens of a group, so that the k-th of one meets the k-th of the other.
+    rank = lambda x: np.arange(len(x)) - np.searchsorted(x, x)
+    return len(np.intersect1d(a << 32 | rank(a), b << 32 | rank(b), assume_unique=True))
 
 
 def bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -64,6 +78,13 @@ class CountTree:
     def pairs(self, percent: int, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of points of different classes that pass every bound; each pair once."""
         classes = classes[self.order]
+        if len(self.points) <= 3 * LEAF:  # a few leaves: all their boxes would be opened
+            i, j = np.triu_indices(len(self.points), 1)
+            n, m = self.sizes[i], self.sizes[j]
+            fits = (classes[i] != classes[j]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            i, j, n, m = i[fits], j[fits], n[fits], m[fits]
+            fits = bound(self.points[i], self.points[j]) >= needed(n, m, percent)
+            return self.order[i[fits]], self.order[j[fits]]
         left, right = [], []
         for i in range(len(self.points)):
             at = self.near(self.points[i], int(self.sizes[i]), percent)

@@ -3,15 +3,20 @@
 1. A document's set of shingles has a 64-bit fingerprint, its node; equal sets
    are one node from then on, however many documents share it.
 2. Sets of similarity ``percent`` or more share a shingle among the first
-   n - ceil(percent * n) + 1 of each under one fixed order, so only these are
-   exchanged, in compact records, and only shingles of two nodes or more live on.
+   n - ceil(percent * n) + 1 of each under one order of all shingles, so only
+   these are exchanged, in compact records, and only shingles of two nodes or
+   more live on.  Any order is right; frequent shingles, such as those of a
+   passage that many documents share, are put last, so that they bring together
+   only sets that have little else.
 3. In each group of nodes with a common shingle the most central node is paired
    with the others (a number linear in the group); verified pairs are linked and
    give first components.
 4. Groups that still hold several components go through an R-tree over count
    vectors, which keeps the cross-component pairs whose summed coordinate minima
-   allow the similarity; these are verified too.  A pair inside one component
-   cannot change the result and is never made.
+   allow the similarity.  A pair inside one component cannot change the result
+   and is never made.
+5. Pairs must also pass the same bound over many more groups of tokens (a fine
+   point, sparse), and only then are their texts fetched and verified.
 
 Every linked pair of different components is thus found: the result is exact.
 """
@@ -22,13 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
 from .buckets import SCHEMA, by_bucket, dealt, how_many
 from .components import components
-from .countrtree import GROUPS, CountTree, point
+from .countrtree import GROUPS, CountTree, fine_bound, fine_point, needed, point
 from .textarrays import U64, constants, mix, shingle_sets, text_groups
 
 PERCENT, WIDTH = 80, 5
@@ -37,6 +43,11 @@ POSTING = np.dtype([("token", "<u8"), ("node", "<u8"), ("n", "<u4"), ("rank", "u
 #: Tokens of a node, the first in the order, whose groups propose pairs with a centre.
 CENTRED = 8
 FLUSH = 1 << 20
+COUNT = np.dtype([("token", "<u8"), ("n", "<u4")])
+#: Tokens of more nodes than FREQUENT come last in the order; so many of them are sent to every task at most (8 bytes each).
+FREQUENT, FREQUENT_KEPT = 16, 500_000
+#: Postings of a frequent token that meet in one task, about.
+PART = 4096
 #: Nodes that one task compares at once; a larger group is compared block by block.
 BLOCK = 1500
 
@@ -51,7 +62,7 @@ def _node(tokens: np.ndarray) -> int:
 
 
 def feature_table(docs: DataFrame) -> DataFrame:
-    """doc_id, n, node (null for an empty set), point of every row."""
+    """doc_id, n, node (null for an empty set), point and fine point of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,23 +70,81 @@ def feature_table(docs: DataFrame) -> DataFrame:
                 sets = shingle_sets(group.lower().words(), WIDTH)
                 nodes = np.array([_node(s) if len(s) else 0 for s in sets], U64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(group.first, len(group)), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, mask=nodes == 0), pa.array([point(s).tobytes() for s in sets], pa.binary())],
-                    names=["doc_id", "n", "node", "point"],
+                    [batch.column("doc_id").slice(group.first, len(group)), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, mask=nodes == 0), pa.array([point(s).tobytes() for s in sets], pa.binary()), pa.array([fine_point(s).tobytes() for s in sets], pa.binary())],
+                    names=["doc_id", "n", "node", "point", "fine"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, point binary")
+    return docs.mapInArrow(run, "doc_id long, n long, node long, point binary, fine binary")
 
 
-def posting_blobs(docs: DataFrame, percent: int) -> DataFrame:
-    """Prefix postings of all nodes; a node that a task has already sent is not sent again."""
+def frequent_tokens(docs: DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted tokens that more than FREQUENT nodes have among their first, at most FREQUENT_KEPT of them, and into how many parts to deal the postings of each.
+
+    Counted over all documents, in prefixes of twice the length.  Where there are
+    more such tokens than are kept, the limit of the count is raised; what is in
+    the order's front part then changes, not the result.
+    """
+    spark = docs.sparkSession
+    buckets = how_many(spark)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total, sent = [], 0, set()
+
+        def flush() -> pa.RecordBatch:
+            token, n = np.unique(np.concatenate(held), return_counts=True)
+            r = np.empty(len(token), COUNT)
+            r["token"], r["n"] = token, n
+            return dealt(r, (token % U64(buckets)).astype(np.int64), buckets)
+
+        for batch in batches:
+            for group in text_groups(batch.column("text")):
+                for tokens in shingle_sets(group.lower().words(), WIDTH):
+                    if not len(tokens) or (node := _node(tokens)) in sent:
+                        continue
+                    sent.add(node)
+                    p = min(len(tokens), 2 * prefix_length(len(tokens), percent))
+                    held.append(tokens[np.argpartition(mix(tokens ^ ORDER), p - 1)[:p]])
+                    total += p
+            if total >= 2 * FLUSH:
+                yield flush()
+                held, total = [], 0
+        if held:
+            yield flush()
+
+    def add(records: np.ndarray) -> Iterator[pa.RecordBatch]:
+        records = records[np.argsort(records["token"], kind="stable")]
+        begin = np.flatnonzero(np.r_[True, records["token"][1:] != records["token"][:-1]])
+        n = np.add.reduceat(records["n"].astype(np.int64), begin)
+        often = n > FREQUENT
+        yield pa.RecordBatch.from_arrays([pa.array(records["token"][begin][often].astype(np.int64)), pa.array(n[often])], names=["token", "n"])
+
+    counted = scratch.written(by_bucket(docs.mapInArrow(count, SCHEMA), COUNT, add, "token long, n long"), "ngram-frequent")
+    least = FREQUENT
+    while counted.where(F.col("n") > least).count() > FREQUENT_KEPT:
+        least *= 2
+    rows = counted.where(F.col("n") > least).collect()
+    token, n = np.array([r.token for r in rows], np.int64).view(U64), np.array([r.n for r in rows], np.int64)
+    order = np.argsort(token)
+    return token[order], -(-n[order] // PART)
+
+
+def posting_blobs(docs: DataFrame, percent: int, shared: Broadcast) -> DataFrame:
+    """Prefix postings of all nodes; a node that a task has already sent is not sent again.
+
+    The postings of a frequent token are dealt into parts by node.
+    """
     buckets = how_many(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total, sent = [], 0, set()
+        held, total, sent, (often, parts) = [], 0, set(), shared.value
 
         def flush() -> pa.RecordBatch:
             records = np.concatenate(held)
-            return dealt(records, (records["token"] % U64(buckets)).astype(np.int64), buckets)
+            token, part = records["token"], np.zeros(len(records), U64)
+            if len(often):
+                at = np.minimum(np.searchsorted(often, token), len(often) - 1)
+                part = np.where(often[at] == token, mix(records["node"]) % parts[at].astype(U64), U64(0))
+            return dealt(records, (mix(token ^ part * ORDER) % U64(buckets)).astype(np.int64), buckets)
 
         for batch in batches:
             for group in text_groups(batch.column("text")):
@@ -84,7 +153,10 @@ def posting_blobs(docs: DataFrame, percent: int) -> DataFrame:
                         continue
                     sent.add(node)
                     p = prefix_length(len(tokens), percent)
-                    order = mix(tokens ^ ORDER)
+                    order = mix(tokens ^ ORDER) >> U64(1)
+                    if len(often):
+                        at = np.minimum(np.searchsorted(often, tokens), len(often) - 1)
+                        order |= (often[at] == tokens).astype(U64) << U64(63)
                     first = np.argpartition(order, p - 1)[:p]
                     first = first[np.argsort(order[first])]
                     r = np.empty(p, POSTING)
@@ -100,11 +172,11 @@ def posting_blobs(docs: DataFrame, percent: int) -> DataFrame:
     return docs.mapInArrow(run, SCHEMA)
 
 
-LIVE = "token long, node long, n long, rank int, centre long, centre_n long"
+LIVE = "token long, node long, n long, rank int, often boolean, centre long, centre_n long"
 
 
-def live_postings(records: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Postings whose token two nodes or more have, each with the centre of its group.
+def live_postings(records: np.ndarray, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Postings whose token two nodes or more have, each with the centre of its group (of its part, for a frequent token).
 
     The centre is the node whose live tokens here have the most company: of
     edited copies of one text that is the text all of them share most with.
@@ -116,7 +188,11 @@ def live_postings(records: np.ndarray) -> Iterator[pa.RecordBatch]:
     token, node = records["token"], records["node"]
     begin = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     company = np.repeat(np.diff(np.r_[begin, len(token)]), np.diff(np.r_[begin, len(token)]))
-    records, company = records[company > 1], company[company > 1]
+    often = np.zeros(len(records), bool)
+    if len(frequent):
+        often = frequent[np.minimum(np.searchsorted(frequent, records["token"]), len(frequent) - 1)] == records["token"]
+    live = (company > 1) | often
+    records, company, often = records[live], company[live], often[live]
     if not len(records):
         return
     nodes, of = np.unique(records["node"], return_inverse=True)
@@ -128,21 +204,20 @@ def live_postings(records: np.ndarray) -> Iterator[pa.RecordBatch]:
     for low in range(0, len(records), 100_000):
         part, mid = records[low : low + 100_000], records[centre[low : low + 100_000]]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(part["token"].astype(np.int64)), pa.array(part["node"].astype(np.int64)), pa.array(part["n"].astype(np.int64)), pa.array(part["rank"].astype(np.int32)), pa.array(mid["node"].astype(np.int64)), pa.array(mid["n"].astype(np.int64))],
-            names=["token", "node", "n", "rank", "centre", "centre_n"],
+            [pa.array(part["token"].astype(np.int64)), pa.array(part["node"].astype(np.int64)), pa.array(part["n"].astype(np.int64)), pa.array(part["rank"].astype(np.int32)), pa.array(often[low : low + 100_000]), pa.array(mid["node"].astype(np.int64)), pa.array(mid["n"].astype(np.int64))],
+            names=["token", "node", "n", "rank", "often", "centre", "centre_n"],
         )
 
 
 def tree_pairs(residual: DataFrame, percent: int) -> DataFrame:
     """Distinct cross-component pairs of nodes that share a token and pass the R-tree's bounds.
 
-    ``residual``: token, node, n, component, point.  A group of more than BLOCK
-    nodes is dealt into blocks, and each pair of blocks is a group of its own.
+    ``residual``: token, members (of its group), node, n, component, point.  A
+    group of more than BLOCK nodes is dealt into blocks, and each pair of blocks
+    is a group of its own.
     """
-    sizes = residual.groupBy("token").agg(F.count("*").alias("members"))
     dealt_out = (
-        residual.join(sizes, "token")
-        .withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+        residual.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "component", "point")
@@ -155,7 +230,7 @@ def tree_pairs(residual: DataFrame, percent: int) -> DataFrame:
             columns = [table.column(c).to_numpy() for c in ("token", "low", "high", "block", "node", "n", "component")]
             token, low, high, block, node, n, component = columns
             cut = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]), True])
-            points = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint16).reshape(-1, GROUPS)
+            points = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint8).reshape(-1, GROUPS)
             found = set()
             for a, b in zip(cut[:-1], cut[1:]):
                 if (component[a:b] == component[a]).all():
@@ -188,6 +263,22 @@ def tree_pairs(residual: DataFrame, percent: int) -> DataFrame:
     return dealt_out.repartition(n, "token", "low", "high").sortWithinPartitions("token", "low", "high").mapInArrow(run, "a long, b long").distinct()
 
 
+def refined(pairs: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that pass the bound of their fine points (node, n, fine)."""
+    with_a = pairs.join(fine.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("fine").alias("fa")), "a")
+    both = with_a.join(fine.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("fine").alias("fb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = needed(batch.column("na").to_numpy(), batch.column("nb").to_numpy(), percent).tolist()
+            fa, fb = batch.column("fa"), batch.column("fb")
+            read = lambda c, i: np.frombuffer(c[i].as_buffer(), "<u2")
+            kept = pa.array([i for i, least_i in enumerate(least) if fine_bound(read(fa, i), read(fb, i)) >= least_i], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(kept), batch.column("b").take(kept)], names=["a", "b"])
+
+    return both.select("a", "b", "na", "nb", "fa", "fb").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, first_doc: DataFrame, percent: int) -> DataFrame:
     """The pairs of nodes (a, b) whose sets reach the similarity, as pairs (u, v) of the nodes' smallest documents."""
     texts = docs.where("doc_id is not null").select("doc_id", "text")
@@ -226,23 +317,40 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     features = scratch.written(feature_table(docs), "ngram-features")
-    first_doc = scratch.written(features.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("point").alias("point")), "ngram-nodes")
-    live = scratch.written(by_bucket(posting_blobs(docs.where("doc_id is not null"), percent), POSTING, live_postings, LIVE), "ngram-live")
+    first_doc = scratch.written(features.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("fine").alias("fine")), "ngram-nodes")
+    known_docs = docs.where("doc_id is not null")
+    shared = spark.sparkContext.broadcast(frequent_tokens(known_docs, percent))
+    scratch.free_shuffles(spark)
+    live = scratch.written(by_bucket(posting_blobs(known_docs, percent, shared), POSTING, lambda records: live_postings(records, shared.value[0]), LIVE), "ngram-live")
     scratch.free_shuffles(spark)
 
-    alike = (100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n")) & (F.col("node") != F.col("centre")) & (F.col("rank") < CENTRED)
-    stars = scratch.written(live.where(alike).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "ngram-stars")
-    links = scratch.written(verified(stars, docs, first_doc, percent), "ngram-links")
+    fine = first_doc.select("node", "n", "fine")
+    fits = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    alike = fits("n", "centre_n") & (F.col("node") != F.col("centre")) & (F.col("rank") < CENTRED)
+    # Parts of a frequent token's group have centres of their own; these are paired with the one that most postings have.
+    centres = live.where("often").groupBy("token", "centre", "centre_n").agg(F.count("*").alias("votes"))
+    tops = centres.groupBy("token").agg(F.max(F.struct("votes", "centre", "centre_n")).alias("top")).select("token", F.col("top.centre").alias("node"), F.col("top.centre_n").alias("n"), F.lit(0).alias("rank"))
+    proposed = live.where(alike).select("node", "centre").unionByName(centres.join(tops, "token").where(alike).select("node", "centre"))
+    stars = scratch.written(proposed.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "ngram-stars")
+    close = scratch.written(refined(stars, fine, percent), "ngram-close-stars")
+    links = scratch.written(verified(close, docs, first_doc, percent), "ngram-links")
     scratch.free_shuffles(spark)
     known = scratch.written(components(links), "ngram-components")
 
-    # Component of each live node: by its smallest document, itself if it has no link yet.
     placed = first_doc.join(known.select(F.col("node").alias("doc"), "component"), "doc", "left").select("node", "n", "point", F.coalesce("component", "doc").alias("component"))
-    members = live.select("token", "node").join(placed.select("node", "component"), "node")
-    mixed = members.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token")
-    residual = scratch.written(members.join(mixed, "token").join(placed.select("node", "n", "point"), "node"), "ngram-residual")
-    rest = scratch.written(tree_pairs(residual, percent).join(stars, ["a", "b"], "left_anti"), "ngram-rest")
-    more = scratch.written(verified(rest, docs, first_doc, percent), "ngram-more-links")
+    members = scratch.written(live.select("token", "node", "n").join(placed.select("node", "component"), "node"), "ngram-members")
+    groups = scratch.written(
+        members.groupBy("token")
+        .agg(F.count("*").alias("members"), F.min("component").alias("x"), F.max("component").alias("y"), F.min(F.struct("node", "n")).alias("first"), F.max(F.struct("node", "n")).alias("last"))
+        .where("x != y"),
+        "ngram-groups",
+    )
+    twos = groups.where((F.col("members") == 2) & fits("first.n", "last.n")).select(F.col("first.node").alias("a"), F.col("last.node").alias("b")).distinct()
+    residual = members.join(groups.where("members > 2").select("token", "members"), "token").join(placed.select("node", "point"), "node")
+    rest = twos.unionByName(tree_pairs(residual, percent)).distinct().join(stars, ["a", "b"], "left_anti")
+    close = scratch.written(refined(scratch.written(rest, "ngram-rest"), fine, percent), "ngram-close-rest")
+    scratch.free_shuffles(spark)
+    more = scratch.written(verified(close, docs, first_doc, percent), "ngram-more-links")
     found = components(links.unionByName(more)) if more.head(1) else known
 
     named = first_doc.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").select("node", F.coalesce("component", "doc").alias("component"))

@@ -60,6 +60,8 @@ def corpus(seed, n=260):
 def test_components_of_random_texts(spark, monkeypatch):
     monkeypatch.setattr(ngramjoin, "BLOCK", 7)
     monkeypatch.setattr(ngramjoin, "CENTRED", 1)
+    monkeypatch.setattr(ngramjoin, "FREQUENT", 3)
+    monkeypatch.setattr(ngramjoin, "PART", 4)
     for seed in (1, 2):
         rows = corpus(seed) + [(9000, None), (9001, ""), (9002, " \n"), (9003, "lone")]
         docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, node int").repartition(3)
@@ -97,3 +99,15 @@ def test_long_chain(spark):
     order = random.Random(0).sample(range(n), n)
     edges = spark.createDataFrame([(order[i], order[i + 1]) for i in range(n - 1)] + [(100, 101), (101, 101), (101, 100)], "u long, v long")
     assert sorted(map(tuple, components(edges).collect())) == [(i, 0) for i in range(n)] + [(100, 100), (101, 100)]
+
+
+def test_bounds_are_no_less_than_the_overlap():
+    rng = np.random.default_rng(8)
+    pool = rng.integers(0, 1 << 62, 60000, dtype=np.uint64)
+    for size in (1, 3, 500, 50000):
+        x, y = (np.unique(rng.choice(pool, size)) for _ in range(2))
+        shared = len(np.intersect1d(x, y))
+        fine = countrtree.fine_bound(countrtree.fine_point(x), countrtree.fine_point(y))
+        assert shared <= fine <= min(len(x), len(y))
+        tree = countrtree.CountTree(np.array([countrtree.point(s) for s in (x, y)]), np.array([len(x), len(y)]))
+        assert countrtree.bound(tree.points[0], tree.points[1]) >= fine or size > 1000
