@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 
 LEAF = 16
-GROUPS = 128
+GROUPS = 512
 FULL = np.iinfo(np.uint8).max
 #: Groups of the fine point, which is kept as the sorted groups of all tokens, by differences.
 FINE = 1 << 16
@@ -75,21 +75,26 @@ class CountTree:
         fits = (100 * np.minimum(n, size) >= percent * np.maximum(n, size)) & (bound(self.points[boxes], query) >= needed(n, size, percent))
         return boxes[fits]
 
-    def pairs(self, percent: int, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of points of different classes that pass every bound; each pair once."""
+    def pairs(self, percent: int, classes: np.ndarray, left_over: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of points of different classes that pass every bound; each pair once.
+
+        ``left_over``: an upper limit of what each set can share, all its tokens if None.
+        """
         classes = classes[self.order]
+        most = self.sizes if left_over is None else left_over[self.order]
         if len(self.points) <= 3 * LEAF:  # a few leaves: all their boxes would be opened
             i, j = np.triu_indices(len(self.points), 1)
             n, m = self.sizes[i], self.sizes[j]
-            fits = (classes[i] != classes[j]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            fits = (classes[i] != classes[j]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (np.minimum(most[i], most[j]) >= needed(n, m, percent))
             i, j, n, m = i[fits], j[fits], n[fits], m[fits]
             fits = bound(self.points[i], self.points[j]) >= needed(n, m, percent)
             return self.order[i[fits]], self.order[j[fits]]
-        left, right = [], []
+        found, right = [], []
         for i in range(len(self.points)):
             at = self.near(self.points[i], int(self.sizes[i]), percent)
             at = at[(at > i) & (classes[at] != classes[i])]
-            left.append(np.full(len(at), i))
+            at = at[np.minimum(most[at], most[i]) >= needed(self.sizes[at], self.sizes[i], percent)]
+            found.append(np.full(len(at), i))
             right.append(at)
         join = lambda x: self.order[np.concatenate(x).astype(np.int64)] if x else np.zeros(0, np.int64)
-        return join(left), join(right)
+        return join(found), join(right)

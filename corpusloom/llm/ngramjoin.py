@@ -39,7 +39,7 @@ from .textarrays import U64, constants, mix, shingle_sets, text_groups
 
 PERCENT, WIDTH = 80, 5
 ORDER = constants(1, 301)[0]
-POSTING = np.dtype([("token", "<u8"), ("node", "<u8"), ("n", "<u4"), ("rank", "u1")])
+POSTING = np.dtype([("token", "<u8"), ("node", "<u8"), ("n", "<u4"), ("rank", "<u2")])
 #: Tokens of a node, the first in the order, whose groups propose pairs with a centre.
 CENTRED = 8
 FLUSH = 1 << 20
@@ -160,7 +160,7 @@ def posting_blobs(docs: DataFrame, percent: int, shared: Broadcast) -> DataFrame
                     first = np.argpartition(order, p - 1)[:p]
                     first = first[np.argsort(order[first])]
                     r = np.empty(p, POSTING)
-                    r["token"], r["node"], r["n"], r["rank"] = tokens[first], node, len(tokens), np.minimum(np.arange(p), 255)
+                    r["token"], r["node"], r["n"], r["rank"] = tokens[first], node, len(tokens), np.minimum(np.arange(p), 65535)
                     held.append(r)
                     total += p
             if total >= FLUSH:
@@ -212,30 +212,32 @@ def live_postings(records: np.ndarray, frequent: np.ndarray) -> Iterator[pa.Reco
 def tree_pairs(residual: DataFrame, percent: int) -> DataFrame:
     """Distinct cross-component pairs of nodes that share a token and pass the R-tree's bounds.
 
-    ``residual``: token, members (of its group), node, n, component, point.  A
-    group of more than BLOCK nodes is dealt into blocks, and each pair of blocks
+    ``residual``: token, members (of its group), node, n, rank (of the token
+    in the node's order), component, point.  Sets that share as much as they need
+    do so from their first common token on, so a group proposes only pairs for
+    which it can be that of the first.  A group of more than BLOCK nodes is dealt into blocks, and each pair of blocks
     is a group of its own.
     """
     dealt_out = (
         residual.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "component", "point")
+        .select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "rank", "component", "point")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            columns = [table.column(c).to_numpy() for c in ("token", "low", "high", "block", "node", "n", "component")]
-            token, low, high, block, node, n, component = columns
+            columns = [table.column(c).to_numpy() for c in ("token", "low", "high", "block", "node", "n", "rank", "component")]
+            token, low, high, block, node, n, rank, component = columns
             cut = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]), True])
             points = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint8).reshape(-1, GROUPS)
             found = set()
             for a, b in zip(cut[:-1], cut[1:]):
                 if (component[a:b] == component[a]).all():
                     continue
-                left, right = CountTree(points[a:b], n[a:b]).pairs(percent, component[a:b])
+                left, right = CountTree(points[a:b], n[a:b]).pairs(percent, component[a:b], n[a:b] - rank[a:b])
                 if low[a] != high[a]:  # pairs inside a block belong to that block's own group
                     across = block[a + left] != block[a + right]
                     left, right = left[across], right[across]
@@ -338,14 +340,16 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
     known = scratch.written(components(links), "ngram-components")
 
     placed = first_doc.join(known.select(F.col("node").alias("doc"), "component"), "doc", "left").select("node", "n", "point", F.coalesce("component", "doc").alias("component"))
-    members = scratch.written(live.select("token", "node", "n").join(placed.select("node", "component"), "node"), "ngram-members")
+    members = scratch.written(live.select("token", "node", "n", "rank").join(placed.select("node", "component"), "node"), "ngram-members")
     groups = scratch.written(
         members.groupBy("token")
-        .agg(F.count("*").alias("members"), F.min("component").alias("x"), F.max("component").alias("y"), F.min(F.struct("node", "n")).alias("first"), F.max(F.struct("node", "n")).alias("last"))
+        .agg(F.count("*").alias("members"), F.min("component").alias("x"), F.max("component").alias("y"), F.min(F.struct("node", "n", "rank")).alias("first"), F.max(F.struct("node", "n", "rank")).alias("last"))
         .where("x != y"),
         "ngram-groups",
     )
-    twos = groups.where((F.col("members") == 2) & fits("first.n", "last.n")).select(F.col("first.node").alias("a"), F.col("last.node").alias("b")).distinct()
+    left_over = F.least(F.col("first.n") - F.col("first.rank"), F.col("last.n") - F.col("last.rank"))
+    enough = (100 + percent) * left_over >= percent * (F.col("first.n") + F.col("last.n"))
+    twos = groups.where((F.col("members") == 2) & fits("first.n", "last.n") & enough).select(F.col("first.node").alias("a"), F.col("last.node").alias("b")).distinct()
     residual = members.join(groups.where("members > 2").select("token", "members"), "token").join(placed.select("node", "point"), "node")
     rest = twos.unionByName(tree_pairs(residual, percent)).distinct().join(stars, ["a", "b"], "left_anti")
     close = scratch.written(refined(scratch.written(rest, "ngram-rest"), fine, percent), "ngram-close-rest")
