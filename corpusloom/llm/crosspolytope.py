@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from . import scratch
 from .textarrays import constants
 
-TABLES, PROBES, NEAREST = 20, 8, 20
+TABLES, PROBES, NEAREST = 10, 16, 20
 #: Vectors of a bucket that meet in one task; larger buckets are dealt into blocks of candidates and of queries.
 CANDIDATE_BLOCK, QUERY_BLOCK = 20_000, 2_000
 HIT = np.dtype([("vector", "<i8"), ("score", "<f8"), ("first", "<i8")])
@@ -73,16 +73,18 @@ def distinct_vectors(rows: DataFrame, nearest: int, query_every: int) -> DataFra
             out = batch.take(pa.array(order[kept]))
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(asked[kept])], names=[*out.schema.names, "queried"])
 
-    few = rows.mapInArrow(cut, "vector long, vec_id long, embedding array<double>, queried boolean")
+    few = rows.mapInArrow(cut, f"vector long, vec_id long, embedding {_kind(rows)}, queried boolean")
     ranked = few.select("*", F.row_number().over(Window.partitionBy("vector").orderBy("vec_id")).alias("r"), F.max("queried").over(Window.partitionBy("vector")).alias("asked")).where(F.col("r") <= keep)
     return ranked.groupBy("vector").agg(F.first("embedding").alias("embedding"), F.array_sort(F.collect_set("vec_id")).alias("ids"), F.max("asked").alias("queried")).withColumn("dim", F.size("embedding"))
 
 
 def _as_matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy().reshape(-1, dim)
+    return column.flatten().to_numpy().reshape(-1, dim).astype(np.float64)
 
 
-PLACED = "tab int, bucket int, dim int, query boolean, vector long, first long, embedding array<double>"
+def _kind(df: DataFrame) -> str:
+    """Vectors travel as they are stored, and are doubles where they are computed with."""
+    return df.schema["embedding"].dataType.simpleString()
 
 
 def hashed(vectors: DataFrame, tables: int, probes: int) -> DataFrame:
@@ -104,7 +106,7 @@ def hashed(vectors: DataFrame, tables: int, probes: int) -> DataFrame:
                     query = np.arange(len(rows)) >= len(x)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), t, np.int32)), pa.array(buckets.astype(np.int32)), out.column("dim"), pa.array(query), out.column("vector"), out.column("first"), out.column("embedding")], names=["tab", "bucket", "dim", "query", "vector", "first", "embedding"])
 
-    return vectors.select("vector", "dim", "queried", F.element_at("ids", 1).alias("first"), "embedding").mapInArrow(run, PLACED)
+    return vectors.select("vector", "dim", "queried", F.element_at("ids", 1).alias("first"), "embedding").mapInArrow(run, f"tab int, bucket int, dim int, query boolean, vector long, first long, embedding {_kind(vectors)}")
 
 
 def best(hits: np.ndarray, keep: int) -> np.ndarray:
@@ -206,8 +208,9 @@ def nearest_neighbours(table: DataFrame, query_every: int = 20, nearest: int = N
     """
     spark = table.sparkSession
     keep = nearest + 1
+    kind = "array<float>" if table.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
     finite = F.forall(F.col("embedding"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(F.col("embedding"), lambda x: x != 0)
-    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding")).where("vec_id is not null and size(embedding) > 0").where(finite).select(F.xxhash64("embedding").alias("vector"), "vec_id", "embedding")
+    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("embedding")).where("vec_id is not null and size(embedding) > 0").where(finite).select(F.xxhash64("embedding").alias("vector"), "vec_id", "embedding")
     vectors = scratch.written(distinct_vectors(rows, nearest, query_every), "ann-vectors")
     found = scratch.written(merged_hits(ranked_buckets(hashed(vectors, tables, probes), keep), keep), "ann-found")
 
