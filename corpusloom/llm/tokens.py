@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .textarrays import BYTE_VALUE, SPACE, Spans, Texts, text_groups
@@ -140,22 +140,29 @@ def encoded_batches(batches: Iterator[pa.RecordBatch], path: str | None, text: s
             yield batch.slice(group.first, len(group)), *enc.encode(group)
 
 
-def token_table(docs: DataFrame, queues: int, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """pid, queue, doc_id, n, local (tokens of the queue before it in its partition), wide, ids (little-endian)."""
-    inner = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.pmod(F.xxhash64(F.col(source_col)), F.lit(queues)).cast("int").alias("queue"))
+def source_key(source: Column) -> Column:
+    """A string for each source, another for each; null has one too."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
+def token_table(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """pid, key (of the source), doc_id, n, local (tokens of the source before it in its partition), wide, ids (little-endian)."""
+    inner = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), source_key(F.col(source_col)).alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid, before = TaskContext.get().partitionId(), np.zeros(queues, np.int64)
+        pid, before = TaskContext.get().partitionId(), {}
         for rows, ids, offsets in encoded_batches(batches, path):
             n = np.diff(offsets)
-            queue = rows.column("queue").to_numpy()
+            coded = rows.column("key").dictionary_encode()
+            queue, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
             order = np.argsort(queue, kind="stable")
             sums = np.cumsum(n[order]) - n[order]
             begin = np.searchsorted(queue[order], queue[order])
             local = np.empty(len(n), np.int64)
-            local[order] = sums - sums[begin] + before[queue[order]]
-            np.add.at(before, queue, n)
+            local[order] = sums - sums[begin] + np.array([before.get(k, 0) for k in names], np.int64)[queue[order]]
+            for k, more in zip(names, np.bincount(queue, n, len(names)).tolist()):
+                before[k] = before.get(k, 0) + int(more)
             blobs = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((offsets * ids.itemsize).astype(np.int32)), pa.py_buffer(ids)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), pid, np.int32)), rows.column("queue"), rows.column("doc_id"), pa.array(n), pa.array(local), pa.array(np.full(len(n), ids.itemsize == 4)), blobs], names=["pid", "queue", "doc_id", "n", "local", "wide", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), pid, np.int32)), rows.column("key"), rows.column("doc_id"), pa.array(n), pa.array(local), pa.array(np.full(len(n), ids.itemsize == 4)), blobs], names=["pid", "key", "doc_id", "n", "local", "wide", "ids"])
 
-    return inner.mapInArrow(run, "pid int, queue int, doc_id long, n long, local long, wide boolean, ids binary")
+    return inner.mapInArrow(run, "pid int, key string, doc_id long, n long, local long, wide boolean, ids binary")

@@ -73,3 +73,55 @@ def test_every_id_once_and_mixture(spark):
         for w in range(len(windows) - 1):
             assert abs(sum(r.length for r in windows[w] if source[r.doc_id] == s) - share * 2048) <= 8
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+def packed_shares(spark, sources, rows_of, window=2048, **kw):
+    """Tokens of each source in each window, as [windows, sources], after a check that windows are full and ids whole."""
+    rows = [(d, " ".join([f"w{d % 9}"] * (5 + d % 37)), s) for d, s in enumerate(s for s in sources for _ in range(rows_of(s)))]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(3), window, **kw).collect()
+    place, of = {s: i for i, s in enumerate(sources)}, {r[0]: r[2] for r in rows}
+    held, pieces, windows = np.zeros((max(r.sequence_id for r in got) + 1, len(sources)), int), defaultdict(list), defaultdict(list)
+    for r in got:
+        held[r.sequence_id, place[of[r.doc_id]]] += r.length
+        pieces[r.doc_id].append(r)
+        windows[r.sequence_id].append(r)
+    for rs in windows.values():
+        rs.sort(key=lambda r: r.offset)
+        assert [r.offset for r in rs] == [sum(x.length for x in rs[:i]) for i in range(len(rs))]
+    want = dict(zip(of, ids_of([r[1] for r in rows])))
+    for d, ids in want.items():
+        at = 0
+        for r in sorted(pieces[d], key=lambda r: r.start):
+            assert r.start == at and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+    assert (held[:-1].sum(1) == window).all()
+    return held
+
+
+def even(held, most):
+    """No source is further than ``most`` tokens from its share of all windows before any."""
+    share = held.sum(0) / held.sum()
+    return (np.abs(held[:-1].cumsum(0) - np.outer(held[:-1].sum(1).cumsum(), share)) <= most).all()
+
+
+def test_sources_of_one_hash_stay_apart(spark):
+    hashed = spark.range(200).selectExpr("concat('s', id) AS s").selectExpr("s", "pmod(xxhash64(s), 256) AS h").collect()
+    same = next([a.s, b.s] for a in hashed for b in hashed if a.h == b.h and a.s < b.s)
+    assert even(packed_shares(spark, [*same, "other"], lambda s: 150), 3)
+
+
+def test_more_sources_than_queues(spark):
+    sources = [f"host{i}" for i in range(300)]
+    rows_of = lambda s: 3 + int(s[4:]) % 5
+    assert even(packed_shares(spark, sources, rows_of), 4)
+    assert even(packed_shares(spark, sources[:40], rows_of, window=100, queues=3), 4)
+
+
+def test_weights(spark):
+    for kw in ({}, {"queues": 3}):
+        held = packed_shares(spark, list("abcdef"), lambda s: 100, window=200, weights={"a": 0.5, "b": 0.1}, **kw)
+        lasts = held[: np.flatnonzero(held[:, 0])[-1]]  # until "a" has run out
+        assert len(lasts) > 5 and (np.abs(lasts.cumsum(0)[:, :2] - np.outer(np.arange(1, len(lasts) + 1), [100, 20])) <= 4).all()
+        rest = lasts[:, 2:].cumsum(0)
+        assert (np.abs(rest - rest.sum(1, keepdims=True) * held[:, 2:].sum(0) / held[:, 2:].sum()) <= 4).all()
