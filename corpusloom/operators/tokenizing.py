@@ -54,6 +54,6 @@ def vocabulary(spark, model: str) -> DataFrame:
     return spark.createDataFrame([(i, p.id_to_piece(i)) for i in range(p.get_piece_size())], "id int, piece string")
 
 
-def looked_up(df: DataFrame, vocab: DataFrame, key: str, to: str, unknown) -> DataFrame:
-    """``df`` with ``to`` from the vocabulary by ``key``, or ``unknown``."""
-    return df.join(F.broadcast(vocab), key, "left").withColumn(to, F.coalesce(F.col(to), F.lit(unknown)))
+def looked_up(df: DataFrame, vocab: DataFrame, key: str, to: str, unknown, bounded: bool = True) -> DataFrame:
+    """``df`` with ``to`` from the vocabulary by ``key``, or ``unknown``; only a vocabulary of ``bounded`` size is broadcast."""
+    return df.join(F.broadcast(vocab) if bounded else vocab, key, "left").withColumn(to, F.coalesce(F.col(to), F.lit(unknown)))

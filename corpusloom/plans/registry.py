@@ -286,6 +286,16 @@ VOCAB = f"(SELECT w, row_number() OVER (ORDER BY n DESC, w)::INT AS id FROM (SEL
 IDS = f"(SELECT item_id, list(id ORDER BY i) AS ids FROM (SELECT item_id, unnest({WORDS('text')}) AS w, unnest(range(0, len({WORDS('text')}))) AS i FROM benchmark) JOIN {VOCAB} USING (w) GROUP BY item_id)"
 
 
+def by_count(words: DataFrame, word: str) -> DataFrame:
+    """The vocabulary of ``words``: each once, with its rank by count (id), ties in the order of bytes."""
+    counts = words.groupBy(word).agg(F.count("*").alias("n"))
+    # Few words are frequent, most are rare: counts up to 4 are parted by two bytes of the word, others by powers of two.
+    head = F.hex(F.substring(F.encode(word, "utf-8"), 1, 2))
+    rare = F.col("n") <= 4
+    bucket = F.struct(F.when(rare, -F.col("n")).otherwise(-4 - F.floor(F.log2("n"))).alias("n"), F.when(rare, head).otherwise("").alias("head"))
+    return ranked(counts, bucket, [F.desc("n"), word], "id").select(word, F.col("id").cast("int").alias("id"))
+
+
 def word_ids(spark, sf_dir) -> DataFrame:
     """item_id and the ranks of its words in the table's vocabulary."""
     each = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(T.words(F.col("text"))).alias("i", "w"))
@@ -329,6 +339,17 @@ def vocabulary_lookup(spark, sf_dir):
     return looked_up(spark.range(1, 101).select(F.col("id").cast("int").alias("id")), vocab, "id", "piece", "<unk>")
 
 
+@query(f"SELECT w AS piece, id, w AS back FROM {VOCAB}")
+def vocabulary_lookup_all(spark, sf_dir):
+    """Every word of the table to its id in the whole vocabulary, and every id back to its piece, by plain joins."""
+    from ..operators.tokenizing import looked_up
+
+    words = table(spark, sf_dir, "benchmark").select(F.explode(T.words(F.col("text"))).alias("piece"))
+    vocab = by_count(words, "piece")
+    found = looked_up(words.distinct(), vocab, "piece", "id", 0, bounded=False)
+    return looked_up(found, vocab.withColumnRenamed("piece", "back"), "id", "back", "<unk>", bounded=False).select("piece", "id", "back")
+
+
 @query()
 def sentencepiece_round_trip(spark, sf_dir):
     """Ids and decoded text under a public SentencePiece model; its length in pieces equals that of its ids."""

@@ -40,6 +40,20 @@ def test_rows_only_queries(spark):
     assert registry.parallel_clean(spark, SF).count() > 0
 
 
+def test_whole_vocabulary_is_looked_up(spark, db):
+    got = registry.QUERIES["vocabulary_lookup_all"](spark, SF).collect()
+    words = {w for (text,) in db.sql("SELECT text FROM benchmark").fetchall() for w in text.split()}
+    assert len(words) > 100 and {r.piece for r in got} == words and all(r.piece == r.back for r in got)
+    assert sorted(r.id for r in got) == list(range(1, len(words) + 1))
+
+
+def test_vocabulary_in_buckets(spark):
+    words = [w for k in range(1, 40) for w in [f"é{k}", f"a{k}", "b" * k, f"ab{k % 7}"] for _ in range(k)]
+    counts = {w: words.count(w) for w in words}
+    got = registry.by_count(spark.createDataFrame([(w,) for w in words], "w string"), "w").collect()
+    assert [r.w for r in sorted(got, key=lambda r: r.id)] == sorted(counts, key=lambda w: (-counts[w], w.encode()))
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
