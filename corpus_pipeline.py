@@ -37,13 +37,35 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near copies, once; documents without an id stay."""
-    found = jaccard_components(docs)
-    counted = scratch.written(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept-ids")
-    kept = docs.join(counted.select("doc_id"), "doc_id", "left_semi")
-    if counted.where("rows > 1").head(1):
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """The document of smallest id of each group of near copies, once; documents without an id stay.
+
+    Different texts under one id are documents of their own, equal or blank ones are one.
+    """
+    known = docs.where("doc_id is not null")
+    if known.groupBy("doc_id").count().where("count > 1").head(1):
+        kept = _first_of_each_group(known)
+    else:
+        found = jaccard_components(docs)
+        chosen = scratch.written(found.where("doc_id = component_id").select("doc_id"), "kept-ids")
+        kept = known.join(chosen, "doc_id", "left_semi")
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def _first_of_each_group(docs: DataFrame) -> DataFrame:
+    """Of documents whose ids clash: grouped under an id for each (doc_id, text), and the least pair of each group stays."""
+    vertex, digest = ("_".join([x, *docs.columns]) for x in ("vertex", "digest"))  # names that no column has
+    docs = docs.withColumn(digest, F.sha2(F.when(F.col("text").rlike(r"\S"), F.col("text")).otherwise(""), 256))
+    seed = 0
+    while True:
+        keyed = docs.withColumn(vertex, F.xxhash64("doc_id", digest, F.lit(seed)))
+        pairs = scratch.written(keyed.select("doc_id", F.col(digest).alias("digest"), F.col(vertex).alias("vertex")).distinct(), "kept-pairs")
+        if not pairs.groupBy("vertex").count().where("count > 1").head(1):
+            break
+        seed += 1  # two pairs with one id: others are drawn
+    found = jaccard_components(keyed.select(F.col(vertex).alias("doc_id"), "text")).distinct()
+    least = pairs.join(found.select(F.col("doc_id").alias("vertex"), "component_id"), "vertex").groupBy("component_id").agg(F.min(F.struct("doc_id", "digest", "vertex")).alias("first"))
+    chosen = scratch.written(least.select(F.col("first.vertex").alias(vertex)), "kept-ids")
+    return keyed.join(chosen, vertex, "left_semi").dropDuplicates([vertex])
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,6 +58,19 @@ def test_stages_on_odd_rows(spark, tmp_path):
         assert got == ({1, None, 3, 4, 5} if some else set())
 
 
+def test_texts_that_share_an_id(spark):
+    some = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(1, some(1)), (7, some(1) + " more"), (7, some(2)), (7, some(2)), (8, some(3)), (8, some(4)), (8, some(4) + " end"), (9, some(2)), (5, None), (5, ""), (5, "  "), (6, ""), (None, some(1))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    stage = dict(corpus_pipeline.STAGES)["one_of_each_group"]
+    got = [(r.doc_id, (r.text or "").strip()) for r in stage(spark, docs, SF).collect()]
+    left = {(1, some(1)), (7, some(2)), (8, some(3)), (5, ""), (6, ""), (None, some(1))}
+    # Of two near copies under one id either stays.
+    assert len(got) == 7 and left < set(got) and {(8, some(4)), (8, some(4) + " end")} & set(got)
+    copies = spark.createDataFrame([(3, some(1)), (3, some(1))], "doc_id long, text string")
+    assert [tuple(r) for r in stage(spark, copies, SF).collect()] == [(3, some(1))]
+
+
 def test_run(spark):
     got = corpus_pipeline.run(spark, SF)
     windows = got.groupBy("sequence_id").sum("length").collect()
