@@ -28,11 +28,25 @@ def read_lines(spark: SparkSession, path: str, shared: str | None = None) -> Dat
 
 
 def prompts(lines: DataFrame) -> DataFrame:
-    """prompt and category of records that have a prompt key, one record a line or one array over all lines."""
+    """prompt and category of records that have a prompt key, one record a line; brackets and commas around a record go.
+
+    For files that are one array in another layout see :func:`read_prompts`.
+    """
     record = F.regexp_replace(F.regexp_replace("value", r"\A\s*\[?\s*(?=\{)", ""), r"(?<=\})\s*,?\s*\]?\s*\z", "")
     return lines.select(record.alias("j")).where(has_key(F.col("j"), "prompt")).select(F.get_json_object("j", "$.prompt").alias("prompt"), F.get_json_object("j", "$.category").alias("category"))
 
 
+def read_prompts(spark: SparkSession, path: str) -> DataFrame:
+    """prompt and category of the records with a prompt key in files that hold one JSON array each, in any layout, or one record a line.
+
+    A file is read whole, by one task.  An array that is broken gives no rows.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"\A[\uFEFF\s]+", "").alias("value"))
+    is_array = F.col("value").startswith("[")
+    records = F.when(is_array, F.from_json("value", "array<string>")).otherwise(F.split("value", r"\r?\n"))
+    return prompts(files.select(F.explode(records).alias("value")))
+
+
 def plain_prompts(lines: DataFrame) -> DataFrame:
     return lines.select(T.strip(F.col("value")).alias("prompt")).where("prompt != ''")
 

@@ -41,6 +41,14 @@ def test_key_readers(spark):
     assert got == rows
 
 
+def test_prompt_files_in_any_layout(spark, tmp_path):
+    records = [{"prompt": "a [1], {b}", "category": "x"}, {"other": 1}, {"prompt": "c\nd"}]
+    for name, text in {"line": json.dumps(records), "pretty": "\n " + json.dumps(records, indent=2), "lines": "\n".join(map(json.dumps, records)) + "\n", "none": "[]"}.items():
+        (tmp_path / name).write_text(text)
+        got = [tuple(r) for r in jsonl.read_prompts(spark, f"{tmp_path}/{name}").collect()]
+        assert got == ([] if name == "none" else [("a [1], {b}", "x"), ("c\nd", None)]), name
+
+
 def test_prompts(spark):
     array = spark.createDataFrame([("[",), ('  {"prompt": "a", "category": "x"},',), ('{"prompt": null}',), ("]",), ("junk",), ('{"other": 1}',)], "value string")
     assert [tuple(r) for r in jsonl.prompts(array).collect()] == [("a", "x"), (None, None)]
