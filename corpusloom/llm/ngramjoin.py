@@ -167,12 +167,16 @@ def posting_blobs(docs: DataFrame, percent: int, shared: Broadcast, seed: int =
 
         for batch in batches:
             for group in text_groups(batch.column("text")):
-                for tokens in shingle_sets(group.lower().words(), WIDTH):
-                    if not len(tokens) or (node := _node(tokens, seed)) in sent:
+                sets = [s for s in shingle_sets(group.lower().words(), WIDTH) if len(s)]
+                if not sets:
+                    continue
+                every = np.concatenate(sets)
+                orders = np.split(mix(every ^ ORDER) >> U64(1) | frequent.find(every)[0].astype(U64) << U64(63), np.cumsum([len(s) for s in sets[:-1]]))
+                for tokens, order in zip(sets, orders):
+                    if (node := _node(tokens, seed)) in sent:
                         continue
                     sent.add(node)
                     p = prefix_length(len(tokens), percent)
-                    order = mix(tokens ^ ORDER) >> U64(1) | frequent.find(tokens)[0].astype(U64) << U64(63)
                     first = np.argpartition(order, p - 1)[:p]
                     first = first[np.argsort(order[first])]
                     r = np.empty(p, POSTING)
@@ -188,25 +192,38 @@ def posting_blobs(docs: DataFrame, percent: int, shared: Broadcast, seed: int =
     return docs.mapInArrow(run, SCHEMA)
 
 
-LIVE = "token long, node long, n long, rank int, company long"
+LIVE = "token long, node long, n long, rank int, company long, other long"
+
 
+def live_postings(records: np.ndarray, frequent: Frequent, percent: int) -> Iterator[pa.RecordBatch]:
+    """Postings of the tokens of three nodes or more, each with their number (in its part, for a frequent token), and the pairs (node, other) of groups of two.
 
-def live_postings(records: np.ndarray, frequent: Frequent) -> Iterator[pa.RecordBatch]:
-    """Postings whose token two nodes or more have, each with their number (in its part, for a frequent token)."""
+    A pair that shares as much as it must does so from its first common token
+    on, so in that token's group the places of both allow it; others are left out.
+    """
     records = records[np.lexsort((records["node"], records["token"]))]
     token, node = records["token"], records["node"]
     records = records[np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]]
     token = records["token"]
-    many = np.diff(np.flatnonzero(np.r_[True, token[1:] != token[:-1], True]))
-    company = np.repeat(many, many)
-    live = (company > 1) | (frequent.find(token)[1] > 1)
+    begin = np.flatnonzero(np.r_[True, token[1:] != token[:-1], True])
+    company = np.repeat(np.diff(begin), np.diff(begin))
+    parted = frequent.find(token)[1] > 1
+    twos = begin[:-1][(np.diff(begin) == 2) & ~parted[begin[:-1]]]
+    a, b = records[twos], records[twos + 1]
+    n, m, k, r = (x.astype(np.int64) for x in (a["n"], b["n"], a["rank"], b["rank"]))
+    need = needed(n, m, percent)
+    able = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (n - k >= need) & (m - r >= need)
+    pair = np.unique(np.stack([a["node"][able].view(np.int64), b["node"][able].view(np.int64)], 1), axis=0)
+    live = (company > 2) | parted
     records, company = records[live], company[live]
+    names = ["token", "node", "n", "rank", "company", "other"]
     for low in range(0, len(records), 100_000):
         part = records[low : low + 100_000]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(part[c].astype(k)) for c, k in (("token", np.int64), ("node", np.int64), ("n", np.int64), ("rank", np.int32))] + [pa.array(company[low : low + 100_000])],
-            names=["token", "node", "n", "rank", "company"],
+            [pa.array(part[c].astype(k)) for c, k in (("token", np.int64), ("node", np.int64), ("n", np.int64), ("rank", np.int32))] + [pa.array(company[low : low + 100_000]), pa.nulls(len(part), pa.int64())], names=names
         )
+    nulls = lambda kind: pa.nulls(len(pair), kind)
+    yield pa.RecordBatch.from_arrays([nulls(pa.int64()), pa.array(pair[:, 0]), nulls(pa.int64()), nulls(pa.int32()), nulls(pa.int64()), pa.array(pair[:, 1])], names=names)
 
 
 def _fits(n: str, m: str, percent: int) -> Column:
@@ -226,8 +243,7 @@ def _band(n: str, percent: int) -> Column:
 def proposals(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b of components x, y) of the members of groups with their most central node of about their size, and those centres.
 
-    A pair that shares as much as it must does so from its first common token
-    on, so in that token's group the places of both allow it; the others are left out.
+    As in :func:`live_postings`, pairs that their places rule out are left out.
     """
     banded = members.withColumn("band", _band("n", percent))
     top = banded.where("central >= 0").groupBy("token", "band").agg(F.max(F.struct("central", "node", "n", "rank", "component")).alias("top"))
@@ -236,11 +252,11 @@ def proposals(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     pairs = banded.join(centres, ["token", "band"]).where((F.col("component") != F.col("y")) & able)
     turned = F.col("node") > F.col("centre")
     pairs = pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"), F.when(turned, F.col("y")).otherwise(F.col("component")).alias("x"), F.when(turned, F.col("component")).otherwise(F.col("y")).alias("y"))
-    return pairs.distinct(), top.select("top.node").distinct()
+    return pairs, top.select("top.node").distinct()
 
 
 def tree_pairs(members: DataFrame, features: DataFrame, percent: int) -> DataFrame:
-    """Distinct cross-component pairs (a, b, x, y) of nodes that share a token and pass the R-trees' bounds.
+    """Cross-component pairs (a, b, x, y) of nodes that share a token and pass the R-trees' bounds.
 
     ``members``: token, node, n, rank (of the token in the node's order),
     component, doc.  A row whose place rules out every partner in its group goes
@@ -251,7 +267,7 @@ def tree_pairs(members: DataFrame, features: DataFrame, percent: int) -> DataFra
     spark = members.sparkSession
     per_group = lambda df: df.groupBy("token").agg(F.count("*").alias("m"), F.min("component").alias("p"), F.max("component").alias("q"), F.min("n").alias("least")).where("p != q")
     enough = _enough(F.col("n"), F.col("rank"), F.col("least"), percent) & (100 * (100 + percent) * (F.col("n") - F.col("rank")) >= percent * (100 + percent) * F.col("n"))
-    able = members.join(per_group(members).where("m > 2").select("token", "least"), "token").where(enough).select("token", "node", "n", "rank", "component", "doc")
+    able = members.join(per_group(members).select("token", "least"), "token").where(enough).select("token", "node", "n", "rank", "component", "doc")
     able = scratch.written(able, "ngram-able")
     groups = scratch.written(per_group(able).select("token", "m"), "ngram-groups")
     kept = able.join(groups, "token").withColumn("band", _band("n", percent))
@@ -297,7 +313,7 @@ def tree_pairs(members: DataFrame, features: DataFrame, percent: int) -> DataFra
             yield from settle(pa.Table.from_batches(held))
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return pointed.repartition(n, "token", "band", "block").sortWithinPartitions("token", "band", "block").mapInArrow(run, "a long, b long, x long, y long").distinct()
+    return pointed.repartition(n, "token", "band", "block").sortWithinPartitions("token", "band", "block").mapInArrow(run, "a long, b long, x long, y long")
 
 
 def wanted(features: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
@@ -307,9 +323,9 @@ def wanted(features: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
 
 
 def _placed(pairs: DataFrame, first_doc: DataFrame) -> DataFrame:
-    """Pairs with u, na, v, nb: smallest documents and sizes of their nodes."""
+    """Pairs with u, na, v, nb: smallest documents and sizes of their nodes; a node without a component is its own."""
     side = lambda node, doc, n: first_doc.select(F.col("node").alias(node), F.col("doc").alias(doc), F.col("n").alias(n))
-    return pairs.join(side("a", "u", "na"), "a").join(side("b", "v", "nb"), "b")
+    return pairs.join(side("a", "u", "na"), "a").join(side("b", "v", "nb"), "b").withColumn("x", F.coalesce("x", "u")).withColumn("y", F.coalesce("y", "v"))
 
 
 def refined(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
@@ -384,9 +400,11 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
     known_docs = docs.where("doc_id is not null")
     shared = spark.sparkContext.broadcast(frequent_tokens(known_docs, seed))
     scratch.free_shuffles(spark)
-    live = scratch.written(by_bucket(posting_blobs(known_docs, percent, shared, seed), POSTING, lambda records: live_postings(records, shared.value), LIVE), "ngram-live")
+    live = scratch.written(by_bucket(posting_blobs(known_docs, percent, shared, seed), POSTING, lambda records: live_postings(records, shared.value, percent), LIVE), "ngram-live")
     scratch.free_shuffles(spark)
 
+    twos = live.where("other is not null").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), F.lit(None).cast("long").alias("x"), F.lit(None).cast("long").alias("y"))
+    live = live.where("other is null").drop("other")
     weights = live.groupBy("node").agg(F.sum("company").alias("central"))
     members = scratch.written(live.drop("company").join(first_doc.select("node", "doc").join(weights, "node"), "node").withColumn("component", F.col("doc")), "ngram-members")
     tested: list[DataFrame] = []
@@ -395,7 +413,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
         """node, component of the components that links among the proposed pairs make one; None if there are none."""
         for before in tested:
             proposed = proposed.join(before.select("a", "b"), ["a", "b"], "left_anti")
-        proposed = scratch.written(_placed(proposed, first_doc), "ngram-proposed")
+        proposed = scratch.written(_placed(proposed.distinct(), first_doc), "ngram-proposed")
         tested.append(proposed)
         close = scratch.written(refined(proposed, features, percent), "ngram-close")
         scratch.free_shuffles(spark)
@@ -407,14 +425,13 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
     for _ in range(ROUNDS):
         proposed, centres = proposals(active, percent)
         centres = scratch.written(centres, "ngram-centres")
-        if (found := merged(proposed)) is None:
+        if (found := merged(proposed if moves else proposed.unionByName(twos))) is None:
             break
         moves.append(found)
         central = F.when(F.col("_used").isNotNull(), -1).otherwise(F.col("central"))
         after = _moved(members.drop("changed"), found).join(centres.withColumn("_used", F.lit(1)), "node", "left").withColumn("central", central).drop("_used")
         groups = after.groupBy("token").agg(F.count("*").alias("m"), F.min("component").alias("p"), F.max("component").alias("q"), F.max("_changed").alias("changed"))
-        # A group of two has had its only pair compared.
-        members = scratch.written(after.drop("_changed").join(groups.where("p != q and m > 2").select("token", "changed"), "token"), "ngram-members")
+        members = scratch.written(after.drop("_changed").join(groups.where("p != q").select("token", "changed"), "token"), "ngram-members")
         active = members.where("changed")
     if (found := merged(tree_pairs(members, features, percent))) is not None:
         moves.append(found)

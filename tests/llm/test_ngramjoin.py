@@ -117,11 +117,11 @@ def test_forest_of_queries_and_targets():
 
 
 def test_family_of_many_near_copies(spark):
-    """2,000 near copies of one text: pairs grow with the copies, not with their square, and the result is exact."""
+    """900 near copies of one text: pairs grow with the copies, not with their square, and the result is exact."""
     rng = random.Random(7)
     base = [f"w{i}" for i in range(150)]
     rows = []
-    for d in range(2000):
+    for d in range(900):
         w = list(base)
         for _ in range(rng.randrange(0, 8)):
             w[rng.randrange(len(w))] = f"x{rng.randrange(3000)}"
