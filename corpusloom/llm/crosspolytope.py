@@ -1,14 +1,18 @@
 """Approximate nearest neighbours by cross-polytope hashing with multiprobe tables.
 
 Three rounds of random signs and a fast Hadamard transform turn a unit vector
-pseudo-randomly; its bucket in a table is the signed axis it then lies nearest
-to.  A query probes the buckets of its ``PROBES`` nearest signed axes in each
-table, and all vectors there are ranked exactly, in double precision.  Equal
-vectors are hashed and compared once, whatever their number.
+pseudo-randomly; a polytope's hash is the signed axis it then lies nearest to.
+A table concatenates as many polytopes (the last one over fewer axes) as keep
+its buckets at about ``BUCKET`` vectors, however many there are.  A query probes
+the buckets whose axes it lies nearest to, about the square root of the number
+of vectors in each table, so it meets a share of all vectors that falls as they
+grow; these are ranked exactly, in double precision.  Equal vectors are hashed
+and compared once, whatever their number.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +23,13 @@ from pyspark.sql import functions as F
 from . import scratch
 from .textarrays import constants
 
-TABLES, PROBES, NEAREST = 10, 16, 20
-#: Vectors of a bucket that meet in one task; larger buckets are dealt into blocks of candidates and of queries.
+TABLES, NEAREST = 10, 20
+#: Vectors of a bucket, about, and probes of a table for each square root of the vectors.
+BUCKET, PROBE_RATE = 8, 0.7
+#: Vectors of a group of buckets that meet in one task; larger groups are dealt into blocks of candidates and of queries.
 CANDIDATE_BLOCK, QUERY_BLOCK = 20_000, 2_000
+#: Pairs that are scored at once, and vectors whose probes are sought at once (in costs).
+PAIRS, COSTS = 1 << 16, 1 << 22
 HIT = np.dtype([("vector", "<i8"), ("score", "<f8"), ("first", "<i8")])
 
 
@@ -36,24 +44,55 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def signed_axes(vectors: np.ndarray, table: int, most: int) -> np.ndarray:
-    """The ``most`` nearest signed axes of each row under a table's pseudo-rotation, nearest first."""
+def polytopes(vectors: int, dim: int, bucket: int = BUCKET) -> list[int]:
+    """Axes of each polytope of a table: all but for the last, whose axes make buckets of about ``bucket`` vectors."""
+    width = 1 << max(1, (dim - 1).bit_length())
+    axes, left = [], vectors / bucket
+    while left > 2 * width:
+        axes.append(width)
+        left /= 2 * width
+    return [*axes, min(width, 1 << max(0, math.ceil(math.log2(max(left, 2) / 2))))]
+
+
+def probes_of(vectors: int, rate: float = PROBE_RATE) -> int:
+    return max(16, math.ceil(rate * math.sqrt(vectors)))
+
+
+def turned(vectors: np.ndarray, polytope: int, axes: int) -> np.ndarray:
+    """[len(vectors), 2 * axes] coordinates along the signed axes of a pseudo-rotation."""
     width = 1 << max(1, (vectors.shape[1] - 1).bit_length())
     x = np.zeros((len(vectors), width))
     x[:, : vectors.shape[1]] = vectors
     for turn in range(3):
-        signs = 1.0 - 2.0 * (constants(width, 1000 * table + turn + 1) >> np.uint64(63)).astype(float)
+        signs = 1.0 - 2.0 * (constants(width, 1000 * polytope + turn + 1) >> np.uint64(63)).astype(float)
         x = hadamard(x * signs) / np.sqrt(width)
-    both = np.concatenate([x, -x], axis=1)
-    most = min(most, 2 * width)
-    if most == 1:
-        return both.argmax(1)[:, None]
-    near = np.argpartition(-both, most - 1, axis=1)[:, :most]
-    return np.take_along_axis(near, np.argsort(np.take_along_axis(-both, near, 1), axis=1), 1)
+    return np.concatenate([x[:, :axes], -x[:, :axes]], axis=1)
+
+
+def codes(vectors: np.ndarray, table: int, axes: list[int]) -> np.ndarray:
+    """[len(vectors)] the bucket of each: the nearest signed axes of its polytopes, as one number."""
+    code = np.zeros(len(vectors), np.int64)
+    for k, a in enumerate(axes):
+        code = code * (2 * a) + turned(vectors, 100 * table + k, a).argmax(1)
+    return code
+
+
+def probed(vectors: np.ndarray, table: int, axes: list[int], most: int) -> np.ndarray:
+    """[len(vectors), up to most] the buckets that lie nearest: those of least summed squared distance of axes to the nearest."""
+    code, cost = np.zeros((len(vectors), 1), np.int64), np.zeros((len(vectors), 1))
+    for k, a in enumerate(axes):
+        x = turned(vectors, 100 * table + k, a)
+        more = (x.max(1, keepdims=True) - x) ** 2
+        code = (code[:, :, None] * (2 * a) + np.arange(2 * a)).reshape(len(vectors), -1)
+        cost = (cost[:, :, None] + more[:, None, :]).reshape(len(vectors), -1)
+        if cost.shape[1] > most:
+            least = np.argpartition(cost, most - 1, axis=1)[:, :most]
+            code, cost = np.take_along_axis(code, least, 1), np.take_along_axis(cost, least, 1)
+    return code
 
 
 def distinct_vectors(rows: DataFrame, nearest: int, query_every: int) -> DataFrame:
-    """vector (fingerprint), dim, data (doubles), ids (the nearest + 1 smallest), queried, of each distinct vector.
+    """vector (fingerprint), proof (another), embedding, ids (the nearest + 1 smallest), queried, dim of each distinct vector.
 
     More ids than these can never be among the nearest of a query, itself left
     out.  A task cuts a vector's ids to these before they are exchanged.
@@ -62,10 +101,10 @@ def distinct_vectors(rows: DataFrame, nearest: int, query_every: int) -> DataFra
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vector, ids = batch.column("vector").to_numpy(), batch.column("vec_id").to_numpy()
-            order = np.lexsort((ids, vector))
-            v = vector[order]
-            begin = np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if len(v) else np.zeros(0, np.int64)
+            vector, proof, ids = (batch.column(c).to_numpy() for c in ("vector", "proof", "vec_id"))
+            order = np.lexsort((ids, proof, vector))
+            v, w = vector[order], proof[order]
+            begin = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (w[1:] != w[:-1])]) if len(v) else np.zeros(0, np.int64)
             rank = np.arange(len(v)) - np.repeat(begin, np.diff(np.r_[begin, len(v)]))
             asked = np.add.reduceat((ids[order] % query_every == 0).astype(np.int64), begin) > 0 if len(v) else np.zeros(0, bool)
             asked = np.repeat(asked, np.diff(np.r_[begin, len(v)]))
@@ -73,9 +112,10 @@ def distinct_vectors(rows: DataFrame, nearest: int, query_every: int) -> DataFra
             out = batch.take(pa.array(order[kept]))
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(asked[kept])], names=[*out.schema.names, "queried"])
 
-    few = rows.mapInArrow(cut, f"vector long, vec_id long, embedding {_kind(rows)}, queried boolean")
-    ranked = few.select("*", F.row_number().over(Window.partitionBy("vector").orderBy("vec_id")).alias("r"), F.max("queried").over(Window.partitionBy("vector")).alias("asked")).where(F.col("r") <= keep)
-    return ranked.groupBy("vector").agg(F.first("embedding").alias("embedding"), F.array_sort(F.collect_set("vec_id")).alias("ids"), F.max("asked").alias("queried")).withColumn("dim", F.size("embedding"))
+    few = rows.mapInArrow(cut, f"vector long, proof long, vec_id long, embedding {_kind(rows)}, queried boolean")
+    own = Window.partitionBy("vector", "proof")
+    ranked = few.select("*", F.row_number().over(own.orderBy("vec_id")).alias("r"), F.max("queried").over(own).alias("asked")).where(F.col("r") <= keep)
+    return ranked.groupBy("vector", "proof").agg(F.first("embedding").alias("embedding"), F.array_sort(F.collect_set("vec_id")).alias("ids"), F.max("asked").alias("queried")).withColumn("dim", F.size("embedding"))
 
 
 def _as_matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -87,26 +127,40 @@ def _kind(df: DataFrame) -> str:
     return df.schema["embedding"].dataType.simpleString()
 
 
-def hashed(vectors: DataFrame, tables: int, probes: int) -> DataFrame:
-    """A row for each table of a vector as a candidate, and for each probe of a queried vector."""
+def hashed(vectors: DataFrame, tables: int, axes_of: dict[int, list[int]], probes: int) -> DataFrame:
+    """A row for each table of a vector as a candidate, and for each group of buckets that a queried vector probes.
+
+    A group (lead) has the buckets that differ in the last polytope only; leaves are the axes in it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(part: pa.RecordBatch, row: np.ndarray, table: int, lead: np.ndarray, leaves: list[bytes], query: bool) -> pa.RecordBatch:
+            out = part.take(pa.array(row))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(row), table, np.int32)), pa.array(lead), out.column("dim"), pa.array(np.full(len(row), query)), out.column("vector"), out.column("first"), pa.array(leaves, pa.binary()), out.column("embedding")], names=["tab", "lead", "dim", "query", "vector", "first", "leaves", "embedding"])
+
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims).tolist():
-                part = batch.filter(pa.array(dims == dim))
+                part, axes = batch.filter(pa.array(dims == dim)), axes_of[dim]
                 x = _as_matrix(part.column("embedding"), dim)
                 x = x / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(1, keepdims=True)
                 asked = np.flatnonzero(part.column("queried").to_numpy(zero_copy_only=False))
+                last = 2 * axes[-1]
+                step = max(1, COSTS // (probes * 2 * max(axes)))
                 for t in range(tables):
-                    axes = signed_axes(x, t, probes)
-                    rows = np.r_[np.arange(len(x)), np.repeat(asked, axes.shape[1])]
-                    buckets = np.r_[axes[:, 0], axes[asked].ravel()]
-                    out = part.take(pa.array(rows))
-                    query = np.arange(len(rows)) >= len(x)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), t, np.int32)), pa.array(buckets.astype(np.int32)), out.column("dim"), pa.array(query), out.column("vector"), out.column("first"), out.column("embedding")], names=["tab", "bucket", "dim", "query", "vector", "first", "embedding"])
+                    lead, leaf = np.divmod(codes(x, t, axes), last)
+                    raw = leaf.astype("<u2").tobytes()
+                    yield rows(part, np.arange(len(x)), t, lead, [raw[2 * i : 2 * i + 2] for i in range(len(x))], False)
+                    for low in range(0, len(asked), step):
+                        mine = asked[low : low + step]
+                        code = np.sort(probed(x[mine], t, axes, probes), axis=1)
+                        lead, leaf = np.divmod(code.ravel(), last)
+                        row = np.repeat(mine, code.shape[1])
+                        cut = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (lead[1:] != lead[:-1])])
+                        raw, ends = leaf.astype("<u2").tobytes(), np.r_[cut[1:], len(row)]
+                        yield rows(part, row[cut], t, lead[cut], [raw[2 * a : 2 * b] for a, b in zip(cut.tolist(), ends.tolist())], True)
 
-    return vectors.select("vector", "dim", "queried", F.element_at("ids", 1).alias("first"), "embedding").mapInArrow(run, f"tab int, bucket int, dim int, query boolean, vector long, first long, embedding {_kind(vectors)}")
+    return vectors.select("vector", "dim", "queried", F.element_at("ids", 1).alias("first"), "embedding").mapInArrow(run, f"tab int, lead long, dim int, query boolean, vector long, first long, leaves binary, embedding {_kind(vectors)}")
 
 
 def best(hits: np.ndarray, keep: int) -> np.ndarray:
@@ -115,53 +169,79 @@ def best(hits: np.ndarray, keep: int) -> np.ndarray:
     return hits[np.lexsort((hits["first"], -hits["score"]))[:keep]]
 
 
+def best_of_each(hits: np.ndarray, of: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``keep`` best hits of each query ``of``, in its order."""
+    order = np.lexsort((hits["first"], -hits["score"], of))
+    of = of[order]
+    begin = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    rank = np.arange(len(of)) - np.repeat(begin, np.diff(np.r_[begin, len(of)]))
+    return hits[order[rank < keep]], of[rank < keep]
+
+
+class Asked:
+    """The queries of one group of buckets, and the best that they have met."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, list[bytes]]], keep: int):
+        self.vectors, self.matrix, self.keep = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), keep
+        lists = [np.frombuffer(b, "<u2") for p in parts for b in p[2]]
+        leaf, query = np.concatenate(lists).astype(np.int64), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        # Queries by leaf.
+        self.query = query[np.argsort(leaf, kind="stable")]
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(leaf, minlength=1 << 16))])
+        self.hits, self.of = np.zeros(0, HIT), np.zeros(0, np.int64)
+
+    def meet(self, vectors: np.ndarray, first: np.ndarray, x: np.ndarray, leaf: np.ndarray) -> None:
+        many = self.begin[leaf + 1] - self.begin[leaf]
+        cost = np.cumsum(many)
+        for part in np.split(np.arange(len(leaf)), np.flatnonzero(np.diff(cost // PAIRS)) + 1):
+            m = many[part]
+            if not m.sum():
+                continue
+            candidate = np.repeat(part, m)
+            query = self.query[np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(self.begin[leaf[part]], m)]
+            hits = np.empty(len(query), HIT)
+            hits["vector"], hits["first"] = vectors[candidate], first[candidate]
+            hits["score"] = np.einsum("ij,ij->i", self.matrix[query], x[candidate])
+            self.hits, self.of = best_of_each(np.concatenate([self.hits, hits]), np.concatenate([self.of, query]), self.keep)
+
+    def rows(self) -> pa.RecordBatch:
+        cut = np.flatnonzero(np.r_[True, self.of[1:] != self.of[:-1]]) if len(self.of) else np.zeros(0, np.int64)
+        ends = np.r_[cut[1:], len(self.of)] if len(cut) else cut
+        return pa.RecordBatch.from_arrays([pa.array(self.vectors[self.of[cut]]), pa.array([self.hits[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary())], names=["vector", "hits"])
+
+
 def ranked_buckets(placed: DataFrame, keep: int) -> DataFrame:
-    """vector, hits: for each queried vector the ``keep`` best distinct vectors of each bucket that it probes."""
-    counts = placed.groupBy("tab", "bucket", "dim").agg(F.count_if(~F.col("query")).alias("c"), F.count_if("query").alias("q")).where("q > 0 and c > 0")
-    blocks = counts.select("tab", "bucket", "dim", F.ceil(F.col("c") / CANDIDATE_BLOCK).cast("int").alias("cs"), F.ceil(F.col("q") / QUERY_BLOCK).cast("int").alias("qs"))
+    """vector, hits: for each queried vector the ``keep`` best distinct vectors of the buckets that it probes in each group."""
+    counts = placed.groupBy("tab", "lead", "dim").agg(F.count_if(~F.col("query")).alias("c"), F.count_if("query").alias("q")).where("q > 0 and c > 0")
+    blocks = counts.select("tab", "lead", "dim", F.ceil(F.col("c") / CANDIDATE_BLOCK).cast("int").alias("cs"), F.ceil(F.col("q") / QUERY_BLOCK).cast("int").alias("qs"))
     own = F.when(F.col("query"), F.pmod(F.xxhash64("vector"), F.col("qs"))).otherwise(F.pmod(F.xxhash64("vector"), F.col("cs"))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("query"), F.col("cs")).otherwise(F.col("qs")) - 1))
-    dealt = placed.join(blocks, ["tab", "bucket", "dim"]).withColumn("own", own).withColumn("other", other)
-    dealt = dealt.select("tab", "bucket", "dim", F.when(F.col("query"), F.col("own")).otherwise(F.col("other")).alias("qb"), F.when(F.col("query"), F.col("other")).otherwise(F.col("own")).alias("cb"), (~F.col("query")).alias("candidate"), "vector", "first", "embedding")
+    dealt = placed.join(blocks, ["tab", "lead", "dim"]).withColumn("own", own).withColumn("other", other)
+    dealt = dealt.select("tab", "lead", "dim", F.when(F.col("query"), F.col("own")).otherwise(F.col("other")).alias("qb"), F.when(F.col("query"), F.col("other")).otherwise(F.col("own")).alias("cb"), (~F.col("query")).alias("candidate"), "vector", "first", "leaves", "embedding")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, asked, matrix, found = None, [], None, []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if asked and found:
-                vectors = np.concatenate([a[0] for a in asked])
-                hits = [best(np.concatenate(f), keep).tobytes() for f in zip(*found)]
-                yield pa.RecordBatch.from_arrays([pa.array(vectors), pa.array(hits, pa.binary())], names=["vector", "hits"])
-
+        group, parts, asked = None, [], None
         for batch in batches:
-            keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("tab", "bucket", "dim", "qb", "cb", "candidate")]
+            keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("tab", "lead", "dim", "qb", "cb", "candidate")]
             cut = np.flatnonzero(np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys]), True]) if batch.num_rows else []
             for a, b in zip(cut[:-1], cut[1:]):
                 here = tuple(int(k[a]) for k in keys[:5])
                 if here != group:
-                    yield from done()
-                    group, asked, matrix, found = here, [], None, []
+                    if asked is not None:
+                        yield asked.rows()
+                    group, parts, asked = here, [], None
                 part = batch.slice(a, b - a)
-                vectors, x = part.column("vector").to_numpy(), _as_matrix(part.column("embedding"), here[2])
+                vectors, x, leaves = part.column("vector").to_numpy(), _as_matrix(part.column("embedding"), here[2]), part.column("leaves").to_pylist()
                 if not keys[5][a]:
-                    asked.append((vectors, x))
-                    continue
-                if not asked:
-                    continue
-                if matrix is None:
-                    matrix = np.concatenate([q[1] for q in asked])
-                first = part.column("first").to_numpy()
-                by_first = np.argsort(first, kind="stable")
-                scores = (matrix @ x.T)[:, by_first]
-                vectors, first = vectors[by_first], first[by_first]
-                top = np.argsort(-scores, axis=1, kind="stable")[:, :keep]
-                hits = np.empty(top.shape, HIT)
-                hits["vector"], hits["first"], hits["score"] = vectors[top], first[top], np.take_along_axis(scores, top, 1)
-                found.append(list(hits))
-        yield from done()
+                    parts.append((vectors, x, leaves))
+                elif parts:
+                    asked = asked or Asked(parts, keep)
+                    asked.meet(vectors, part.column("first").to_numpy(), x, np.frombuffer(b"".join(leaves), "<u2").astype(np.int64))
+        if asked is not None:
+            yield asked.rows()
 
     n = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["tab", "bucket", "dim", "qb", "cb"]
+    keys = ["tab", "lead", "dim", "qb", "cb"]
     return dealt.repartition(n, *keys).sortWithinPartitions(*keys, "candidate").mapInArrow(run, "vector long, hits binary")
 
 
@@ -195,7 +275,7 @@ def _scores(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["vector", "other", "score"])
 
 
-def nearest_neighbours(table: DataFrame, query_every: int = 20, nearest: int = NEAREST, tables: int = TABLES, probes: int = PROBES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest_neighbours(table: DataFrame, query_every: int = 20, nearest: int = NEAREST, tables: int = TABLES, probes: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the nearest found of every row whose id is divisible by ``query_every``.
 
     Nearness is the inner product of the original vectors in double precision,
@@ -204,20 +284,30 @@ def nearest_neighbours(table: DataFrame, query_every: int = 20, nearest: int = N
     other lengths are not candidates; rows of one id are never candidates of
     each other, and equal rows count once.  A query with fewer found than wanted
     is searched for again among all vectors, in blocks, so that it gets all that
-    there are.  Other columns are ignored.
+    there are.  ``probes`` of a table are by default :func:`probes_of` the
+    number of distinct vectors.  Other columns are ignored.
     """
     spark = table.sparkSession
     keep = nearest + 1
     kind = "array<float>" if table.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
     finite = F.forall(F.col("embedding"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(F.col("embedding"), lambda x: x != 0)
-    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("embedding")).where("vec_id is not null and size(embedding) > 0").where(finite).select(F.xxhash64("embedding").alias("vector"), "vec_id", "embedding")
-    vectors = scratch.written(distinct_vectors(rows, nearest, query_every), "ann-vectors")
-    found = scratch.written(merged_hits(ranked_buckets(hashed(vectors, tables, probes), keep), keep), "ann-found")
+    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("embedding")).where("vec_id is not null and size(embedding) > 0").where(finite)
+    seed = 0
+    while True:
+        named = rows.select(F.xxhash64("embedding", F.lit(seed)).alias("vector"), F.xxhash64("embedding", F.lit(~seed)).alias("proof"), "vec_id", "embedding")
+        vectors = scratch.written(distinct_vectors(named, nearest, query_every), "ann-vectors")
+        if not vectors.groupBy("vector").count().where("count > 1").head(1):
+            break
+        seed += 1  # two vectors shared a fingerprint
+    rows, vectors = named, vectors.drop("proof")
+    total = vectors.count()
+    axes_of = {r.dim: polytopes(total, r.dim) for r in vectors.select("dim").distinct().collect()}  # one row for each length of vectors
+    found = scratch.written(merged_hits(ranked_buckets(hashed(vectors, tables, axes_of, probes or probes_of(total)), keep), keep), "ann-found")
 
     per_query = found.groupBy("vector").agg(F.count("*").alias("found"))
     short = scratch.written(vectors.where("queried").join(per_query.where(F.col("found") >= keep), "vector", "left_anti").select("vector", "dim", "embedding", F.element_at("ids", 1).alias("first")), "ann-short")
     if short.head(1):
-        one = lambda df, query: df.select(F.lit(0).alias("tab"), F.lit(0).alias("bucket"), "dim", F.lit(query).alias("query"), "vector", "first", "embedding")
+        one = lambda df, query: df.select(F.lit(0).alias("tab"), F.lit(0).cast("long").alias("lead"), "dim", F.lit(query).alias("query"), "vector", "first", F.lit(bytes(2)).alias("leaves"), "embedding")
         every = one(vectors.withColumn("first", F.element_at("ids", 1)), False).unionByName(one(short, True))
         again = merged_hits(ranked_buckets(every, keep), keep)
         found = scratch.written(found.join(short, "vector", "left_anti").unionByName(again), "ann-all")

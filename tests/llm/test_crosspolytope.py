@@ -56,5 +56,38 @@ def test_hadamard_and_axes():
     assert (h @ h.T == 8 * np.eye(8)).all()
     rng = np.random.default_rng(1)
     v = rng.normal(size=(5, 6))
-    assert (cp.signed_axes(v, 3, 4)[:, 0] == cp.signed_axes(v, 3, 1)[:, 0]).all()
-    assert (cp.signed_axes(v, 3, 1) != cp.signed_axes(-v, 3, 1)).all()
+    for axes in ([8], [8, 4], [8, 8, 1]):
+        near = cp.probed(v, 3, axes, 7)
+        assert [c in n for c, n in zip(cp.codes(v, 3, axes), near)] == [True] * 5
+        assert all(len(set(n)) == min(7, len(n)) for n in near.tolist())
+    assert (cp.codes(v, 3, [8]) != cp.codes(-v, 3, [8])).all()
+    # Every bucket is probed, nearest first, when all are asked for.
+    assert sorted(cp.probed(v[:1], 3, [8, 2], 64)[0].tolist()) == list(range(64))
+
+
+def test_buckets_keep_their_size():
+    for n in (1, 30, 500, 10_000, 10**6, 10**10):
+        axes = cp.polytopes(n, 64)
+        buckets = np.prod([2.0 * a for a in axes])
+        assert set(axes[:-1]) <= {64} and n / buckets <= cp.BUCKET and (buckets <= 2 or n / buckets > cp.BUCKET / 2 - 1e-9)
+
+
+def test_recall_and_work_at_two_sizes():
+    """The share of all vectors that a query is compared with falls as they grow, at a recall above 0.9."""
+    shares = []
+    for n in (3000, 30000):
+        rng = np.random.default_rng(n)
+        x = rng.normal(size=(n, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        axes, probes, q = cp.polytopes(n, 64), cp.probes_of(n), x[:40]
+        met, rows = np.zeros((40, n), bool), 0
+        for t in range(cp.TABLES):
+            code, near = cp.codes(x, t, axes), cp.probed(q, t, axes, probes)
+            for i in range(40):
+                here = np.isin(code, near[i])
+                rows += here.sum()
+                met[i] |= here
+        top = np.argsort(-(q @ x.T) + 9 * np.eye(40, n), axis=1)[:, :20]
+        assert np.take_along_axis(met, top, 1).mean() > 0.9
+        shares.append(rows / 40 / n)
+    assert shares[1] < 0.5 * shares[0]
