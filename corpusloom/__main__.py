@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators import cleaning, extract
-from .operators.quality import QualityConfig
+from .operators.quality import Quality
 from .plans.checkpoints import ensure_checkpoint_dir
 from .sources import jsonl
 
@@ -16,7 +16,7 @@ from .sources import jsonl
 def clean(spark: SparkSession, args: argparse.Namespace) -> dict:
     shared = f"{ensure_checkpoint_dir(spark)}/numbered"
     lines = jsonl.read_lines(spark, args.input, shared)
-    config = QualityConfig(min_chars=args.min_chars, max_chars=args.max_chars, min_target_chars=args.min_target_chars, max_latin_ratio=args.max_latin_ratio)
+    config = Quality().bounded("too_short", least=args.min_chars).bounded("too_long", most=args.max_chars).bounded("few_target_chars", least=args.min_target_chars).bounded("high_latin_ratio", most=args.max_latin_ratio)
     out = cleaning.clean_json(lines, args.schema, config, not args.no_dedup)
     jsonl.write_json(out.rows.drop("line"), args.output)
     return {"n_in": lines.count(), "n_out": spark.read.text(args.output).count(), **out.stats.head().asDict()}

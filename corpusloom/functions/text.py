@@ -16,7 +16,7 @@ URL = rf"(?iu)https?://[^{WS}]+|www\.[^{WS}]+"
 TAG = "<[^>]+>"
 MANY_SPACES = r"[ \t]{2,}"
 REPEATED = r"([^\n])\1{4,}"
-LATIN_LETTER = "[A-Za-z]"
+LATIN_LETTERS = "A-Za-z"
 OUTER_SPACE = rf"\A[{WS}]+|[{WS}]+\z"
 
 
@@ -71,17 +71,32 @@ def with_barrier(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", made).select(*(c for c in df.columns if c not in columns), *(F.col(f"_made.{n}").alias(n) for n in columns))
 
 
+def count_of(c: Column, characters: str) -> Column:
+    """Code points of a class: what is left without the others, which go in runs (one match a run, not one a character)."""
+    return F.length(F.regexp_replace(c, f"[^{characters}]++", ""))
+
+
 def target_count(c: Column, profile: ScriptProfile = DEVANAGARI) -> Column:
-    return F.regexp_count(c, F.lit(f"[{profile.target}]"))
+    return count_of(c, profile.target)
 
 
 def latin_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(LATIN_LETTER))
+    return count_of(c, LATIN_LETTERS)
 
 
 def visible_count(c: Column) -> Column:
     """Code points that are not white space."""
-    return F.regexp_count(c, F.lit(f"[^{WS}]"))
+    return F.length(F.regexp_replace(c, f"[{WS}]++", ""))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, where its scan has too few partitions for them (small tables, few row groups).
+
+    For what takes far longer to compute than to exchange.  Large tables have
+    more partitions than that and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() < 2 * cores else df
 
 
 def ratio(part: Column, whole: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import dedup, extract
-from .quality import QualityConfig, with_reason
+from .quality import Quality, with_reason
 
 
 @dataclass
@@ -20,27 +20,27 @@ class Cleaned:
     stats: DataFrame
 
 
-def judged(df: DataFrame, text: str, config: QualityConfig = QualityConfig()) -> DataFrame:
+def judged(df: DataFrame, text: str, config: Quality = Quality()) -> DataFrame:
     """``df`` with ``clean`` and ``reject_reason``; rows without text are left out."""
-    made = T.with_barrier(df.where(F.col(text).isNotNull()), clean=T.cleaned(F.col(text), config.profile))
+    made = T.with_barrier(T.spread(df.where(F.col(text).isNotNull())), clean=T.cleaned(F.col(text), config.profile))
     return with_reason(made, "clean", config)
 
 
-def clean(df: DataFrame, text: str, order: list[str], config: QualityConfig = QualityConfig(), dedup_texts: bool = True, scope: list[str] | None = None) -> Cleaned:
+def clean(df: DataFrame, text: str, order: list[str], config: Quality = Quality(), dedup_texts: bool = True, scope: list[str] | None = None) -> Cleaned:
     """Valid rows of ``df`` with ``clean``; of equal cleaned texts (in each ``scope``) the first by ``order``.
 
     Counts: seen, passed, low_quality, duplicate.
     """
     every = judged(df, text, config)
     valid = every.where("reject_reason is null").drop("reject_reason")
-    rows = dedup.first_by_digest(valid, "clean", order, scope) if dedup_texts else valid
+    rows = dedup.first_by_digest(valid, "clean", order, scope, costly=True) if dedup_texts else valid
     per_text = every.groupBy(F.when(F.col("reject_reason").isNull(), F.sha2("clean", 256)).alias("d"), *(scope or [])).agg(F.count("*").alias("n"))
     distinct = F.count_if(F.col("d").isNotNull()) if dedup_texts else F.coalesce(F.sum(F.when(F.col("d").isNotNull(), F.col("n"))), F.lit(0))
     stats = per_text.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("seen"), distinct.alias("passed"), F.coalesce(F.sum(F.when(F.col("d").isNull(), F.col("n"))), F.lit(0)).alias("low_quality")).withColumn("duplicate", F.col("seen") - F.col("passed") - F.col("low_quality"))
     return Cleaned(rows, stats)
 
 
-def clean_json(lines: DataFrame, schema: str, config: QualityConfig = QualityConfig(), dedup_texts: bool = True, dedup_keys: str = "shared") -> Cleaned:
+def clean_json(lines: DataFrame, schema: str, config: Quality = Quality(), dedup_texts: bool = True, dedup_keys: str = "shared") -> Cleaned:
     """Clean records of JSON lines (columns value and line) into the schema's clean record.
 
     monolingual gives text; instruct gives instruction and output; parallel
@@ -62,7 +62,7 @@ def clean_json(lines: DataFrame, schema: str, config: QualityConfig = QualityCon
     return Cleaned(out.rows.select("line", instruction.alias("instruction"), output.alias("output")), out.stats)
 
 
-def _clean_parallel(lines: DataFrame, config: QualityConfig, dedup_texts: bool, dedup_keys: str) -> Cleaned:
+def _clean_parallel(lines: DataFrame, config: Quality, dedup_texts: bool, dedup_keys: str) -> Cleaned:
     side = lambda key: F.when(extract.json_text(F.col("value"), f"$.translation.{key}").isNotNull(), extract.json_text(F.col("value"), f"$.translation.{key}"))
     present = lambda key: F.expr(f"try_variant_get(try_parse_json(value), '$.translation.{key}', 'variant')").isNotNull()
     raw = lines.withColumn("hi", F.when(present("hi"), side("hi")).otherwise("")).withColumn("en", F.when(present("en"), side("en")).otherwise(""))

@@ -6,14 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def first_by_digest(df: DataFrame, text: str, order: list[str], scope: list[str] | None = None) -> DataFrame:
+def first_by_digest(df: DataFrame, text: str, order: list[str], scope: list[str] | None = None, costly: bool = False) -> DataFrame:
     """The first row of each text (within each ``scope``).
 
     Only digests and order keys are compared: each digest's least order key is
     found by an aggregation that combines before the shuffle, and rows find out
-    whether they are it by a join that splits hot digests.
+    whether they are it by a join that splits hot digests.  That reads ``df``
+    twice; where its rows are ``costly`` to compute they are computed once and
+    travel whole, the first of each digest in each task only.
     """
     scope = scope or []
+    if costly:
+        rank = F.row_number().over(Window.partitionBy("_digest", *scope).orderBy(*order))
+        return df.withColumn("_digest", F.sha2(F.col(text), 256)).withColumn("_rank", rank).where("_rank = 1").drop("_digest", "_rank")
     keyed = df.withColumn("_digest", F.sha2(F.col(text), 256)).withColumn("_order", F.struct(*order))
     first = keyed.groupBy("_digest", *scope).agg(F.min("_order").alias("_first"))
     same = F.col("_order").eqNullSafe(F.col("_first"))
@@ -38,7 +43,10 @@ def parallel_keep(df: DataFrame, concat_col: str = "c", first_col: str = "h", or
     """
     c, h, i = F.col(concat_col), F.col(first_col), F.col(order)
     rows = df.withColumn("_c", F.when(F.col(valid_c), F.sha2(c, 256))).withColumn("_h", F.when(F.col(valid_h), F.sha2(h, 256)))
-    base = rows.select(i.alias("_i"), "_c", "_h").withColumn("_fresh", F.col("_c").isNotNull() & (F.col("_i") == F.min("_i").over(Window.partitionBy("_c"))))
+    # Rows whose joined text is invalid are never new and have no key to meet others by: they take no part.
+    base = rows.where("_c is not null").select(i.alias("_i"), "_c", "_h")
+    earliest = base.groupBy("_c").agg(F.min("_i").alias("_first"))
+    base = base.join(earliest, "_c").withColumn("_fresh", F.col("_i") == F.col("_first")).drop("_first")
 
     def flagged(marked: DataFrame) -> DataFrame:
         """_new from the first sides of rows now believed new."""
@@ -53,12 +61,14 @@ def parallel_keep(df: DataFrame, concat_col: str = "c", first_col: str = "h", or
         same, marked = mark(nxt) == mark(marked), nxt
         if same:
             break
-    by_c = base.where("_c is not null").groupBy(F.col("_c").alias("_h")).agg(F.min("_i").alias("_mc"))
+    by_c = base.groupBy(F.col("_c").alias("_h")).agg(F.min("_i").alias("_mc"))
     by_h = marked.where("_new and _h is not null").groupBy("_h").agg(F.min("_i").alias("_mh"))
-    judged = marked.join(by_c, "_h", "left").join(by_h, "_h", "left")
+    # Only new rows with a valid first side can be kept.
+    judged = marked.where("_new and _h is not null").join(by_c, "_h", "left").join(by_h, "_h", "left")
     joined_before = F.col("_mc").isNotNull() & (F.col("_mc") <= F.col("_i")) if shared else F.lit(False)
-    kept = F.col("_new") & F.col("_h").isNotNull() & ~joined_before & ~(F.col("_mh").isNotNull() & (F.col("_mh") < F.col("_i")))
-    return df.join(judged.select(F.col("_i").alias(order), F.col("_new").alias("new"), kept.alias("kept")), order)
+    kept = ~joined_before & ~(F.col("_mh").isNotNull() & (F.col("_mh") < F.col("_i")))
+    flags = marked.where("_new").select(F.col("_i").alias(order), F.lit(True).alias("_isnew")).join(judged.where(kept).select(F.col("_i").alias(order), F.lit(True).alias("_iskept")), order, "left")
+    return df.join(flags, order, "left").withColumn("new", F.coalesce("_isnew", F.lit(False))).withColumn("kept", F.coalesce("_iskept", F.lit(False))).drop("_isnew", "_iskept")
 
 
 def parallel_stats(judged: DataFrame, valid_c: str = "valid_c", valid_h: str = "valid_h") -> DataFrame:

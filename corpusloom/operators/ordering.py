@@ -18,11 +18,15 @@ def hash_bucket(digest: Column) -> Column:
 
 
 def range_bucket(df: DataFrame, key: str, buckets: int = BUCKETS) -> Column:
-    """Bucket of a number between the table's least and greatest."""
-    low, high = df.agg(F.min(key), F.max(key)).head()
-    if low is None or low == high:
+    """Bucket of a number by the table's quantiles, so that buckets are about even however far apart the numbers lie."""
+    edges = sorted(set(df.approxQuantile(key, [k / buckets for k in range(1, buckets)], 0.5 / buckets)))
+    if not edges:
         return F.lit(0)
-    return F.least(F.floor((F.col(key) - low) / ((high - low) / buckets)), F.lit(buckets - 1)).cast("int")
+    known = F.split(F.lit(",".join(map(repr, edges))), ",").cast("array<double>")
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(edges).bit_length()))))
+    # A binary search: how many edges are not above the number.
+    further = lambda place, step: F.when(F.coalesce(F.get(known, place + step - 1) <= F.col(key), F.lit(False)), place + step).otherwise(place)
+    return F.aggregate(steps, F.lit(0), further)
 
 
 def ranked(df: DataFrame, bucket: Column, order: list[Column | str], name: str = "rank") -> DataFrame:

@@ -47,7 +47,8 @@ def argmax(df: DataFrame, prompt: str, token: str, logit: str = "logit") -> Data
 def drawn(df: DataFrame, prompt: str, token: str, seed: int, logit: str = "logit") -> DataFrame:
     """One token a prompt by inverse distribution, from a number that the seed and the prompt decide."""
     w = Window.partitionBy(prompt).orderBy(F.desc(logit), token).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(prompt)), F.lit(1 << 53)) / float(1 << 53)
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(prompt).cast("string"))), 1, 13)  # 52 bits
+    u = F.conv(digits, 16, 10).cast("long") / float(1 << 52)
     s = softmax(df, prompt, logit, "_p").withColumn("_to", F.sum("_p").over(w)).where(F.col("_to") >= u)
     first = s.groupBy(prompt).agg(F.min(F.struct("_to", token)).alias("_f"))
     every = argmax(df, prompt, token, logit)  # for a sum that rounding has left below u

@@ -40,25 +40,30 @@ def accumulated(df: DataFrame, micro_steps: int, micro: str, loss: str) -> DataF
     return df.groupBy(F.floor(F.col(micro) / micro_steps).cast("long").alias("step")).agg((F.sum(F.col(loss) / micro_steps)).alias("loss"))
 
 
-def smoothed_norms(df: DataFrame, series: str, step: str, norm: str, warmup: int, keep: float = 0.98, factor: float = 2.0) -> DataFrame:
-    """Exponential mean of gradient norms by series, and spikes against the mean before the step.
+def smoothed_norms(df: DataFrame, series: str, step: str, norm: str, warmup: int, keep: float = 0.98, factor: float = 2.0, chunk: int = 256) -> DataFrame:
+    """Exponential mean of gradient norms by series, spikes against the mean before the step, and the learning rate's scale.
 
-    A series is one run's steps, folded in order inside one row; runs are
-    independent, and one run's log is small beside its training.
+    A spike divides the rate by as much as the norm exceeds the mean.  Steps are
+    folded in chunks: a chunk takes a mean e to decay * e + gain, whatever e is,
+    so chunks are folded apart, their ends then in order, and each chunk again
+    from the mean that it begins with.
     """
-    ordered = df.groupBy(series).agg(F.array_sort(F.collect_list(F.struct(F.col(step).alias("s"), F.col(norm).alias("g")))).alias("x"))
-    zero = F.struct(F.lit(0.0).alias("e"), F.array().cast("array<struct<s:bigint,ema:double,spike:boolean>>").alias("out"))
+    number = F.floor((F.row_number().over(Window.partitionBy(series).orderBy(step)) - 1) / chunk)
+    x = df.select(series, F.col(step).cast("long").alias("s"), F.col(norm).cast("double").alias("g")).withColumnRenamed("s", step)
+    chunks = x.withColumn("_k", number).groupBy(series, "_k").agg(F.array_sort(F.collect_list(F.struct(F.col(step).alias("s"), "g"))).alias("x"))
+    mean = lambda e, g: keep * e + (1 - keep) * g
+    chunks = chunks.withColumn("_gain", F.aggregate("x", F.lit(0.0), lambda e, x: mean(e, x["g"]))).withColumn("_decay", F.pow(F.lit(keep), F.size("x")))
+    # One entry for each chunk of a series.
+    ends = chunks.groupBy(series).agg(F.array_sort(F.collect_list(F.struct("_k", "_decay", "_gain"))).alias("c"))
+    began = F.aggregate("c", F.array(F.lit(0.0)), lambda out, c: F.concat(out, F.array(c["_decay"] * F.element_at(out, -1) + c["_gain"])))
+    starts = ends.select(series, F.posexplode(F.slice(began, 1, F.size("c"))).alias("_k", "_e"))
+    nothing = F.struct(F.col("_e").alias("e"), F.array().cast("array<struct<s:bigint,g:double,before:double,ema:double>>").alias("out"))
 
     def step_on(acc: Column, x: Column) -> Column:
-        e = acc["e"]
-        spike = (x["s"] > warmup) & (e > 0) & (x["g"] > factor * e)
-        nxt = keep * e + (1 - keep) * x["g"]
-        row = F.struct(x["s"].cast("bigint").alias("s"), nxt.alias("ema"), spike.alias("spike"))
-        return F.struct(nxt.alias("e"), F.concat(acc["out"], F.array(row)).alias("out"))
+        after = mean(acc["e"], x["g"])
+        row = F.struct(x["s"].alias("s"), x["g"].alias("g"), acc["e"].alias("before"), after.alias("ema"))
+        return F.struct(after.alias("e"), F.concat(acc["out"], F.array(row)).alias("out"))
 
-    folded = ordered.select(series, F.explode(F.aggregate("x", zero, step_on, lambda a: a["out"])).alias("r"))
-    return folded.select(series, F.col("r.s").alias(step), F.col("r.ema").alias("ema"), F.col("r.spike").alias("spike"))
-
-
-def latest(df: DataFrame, key: str, step: str) -> DataFrame:
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(step)))).where("_r = 1").drop("_r")
+    folded = chunks.join(starts, [series, "_k"]).select(series, F.explode(F.aggregate("x", nothing, step_on, lambda a: a["out"])).alias("r"))
+    spike = (F.col("r.s") > warmup) & (F.col("r.before") > 0) & (F.col("r.g") > factor * F.col("r.before"))
+    return folded.select(series, F.col("r.s").alias(step), F.col("r.ema").alias("ema"), spike.alias("spike"), F.when(spike, F.col("r.before") / F.col("r.g")).otherwise(1.0).alias("lr_scale"))

@@ -108,19 +108,19 @@ def url_html_strip(spark, sf_dir):
 
 @query(f"SELECT doc_id, {sql_clean('text')} AS clean FROM {SOURCE}")
 def clean_text(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", T.cleaned(F.col("text")).alias("clean"))
+    return T.spread(documents(spark, sf_dir)).select("doc_id", T.cleaned(F.col("text")).alias("clean"))
 
 
 @query(f"SELECT doc_id, nfc_normalize(text) AS text, sha256(nfc_normalize(text)) AS digest FROM {SOURCE}")
 def nfc_digest(spark, sf_dir):
-    return T.with_barrier(documents(spark, sf_dir), text=T.normalized(F.col("text"))).select("doc_id", "text", F.sha2("text", 256).alias("digest"))
+    return T.with_barrier(T.spread(documents(spark, sf_dir)), text=T.normalized(F.col("text"))).select("doc_id", "text", F.sha2("text", 256).alias("digest"))
 
 
 @query(f"""SELECT doc_id, n_target, n_visible, CASE WHEN n_visible = 0 THEN 0 ELSE floor(n_target / n_visible * 1e6 + 0.5)::BIGINT END AS target_millionths, CASE WHEN n_visible = 0 THEN 0 ELSE floor(n_latin / n_visible * 1e6 + 0.5)::BIGINT END AS latin_millionths
     FROM (SELECT doc_id, {TARGET} AS n_target, {LATIN} AS n_latin, {VISIBLE} AS n_visible FROM (SELECT doc_id, text AS clean FROM {SOURCE}))""")
 def script_ratio(spark, sf_dir):
     c = F.col("text")
-    d = T.with_barrier(documents(spark, sf_dir), n_target=T.target_count(c), n_latin=T.latin_count(c), n_visible=T.visible_count(c))
+    d = T.with_barrier(T.spread(documents(spark, sf_dir)), n_target=T.target_count(c), n_latin=T.latin_count(c), n_visible=T.visible_count(c))
     return d.select("doc_id", "n_target", "n_visible", micro(T.ratio(F.col("n_target"), F.col("n_visible"))).alias("target_millionths"), micro(T.ratio(F.col("n_latin"), F.col("n_visible"))).alias("latin_millionths"))
 
 
@@ -137,8 +137,8 @@ def reject_reasons(spark, sf_dir):
 @query("""SELECT doc_id, length(text) AS n_length FROM documents WHERE length(text) BETWEEN 20 AND 50000 AND length(regexp_replace(text, '[^A-Za-z\\x{C0}-\\x{FF}]', '', 'g')) >= 0
     AND length(regexp_replace(text, '[^A-Za-z\\x{C0}-\\x{FF}]', '', 'g')) >= 0.5 * length(regexp_replace(text, '[""" + WS + """]', '', 'g'))""".replace("\\\\", "\\"))
 def quality_latin_profile(spark, sf_dir):
-    config = quality.QualityConfig(min_target_chars=0, min_target_ratio=0.5, max_latin_ratio=1.0, allow_repeated_chars=True, profile=T.LATIN)
-    return quality.with_reason(table(spark, sf_dir, "documents"), "text", config).where("reject_reason is null").select("doc_id", "n_length")
+    config = quality.Quality(profile=T.LATIN).without("few_target_chars", "high_latin_ratio", "repeated_chars").also(quality.Rule("low_target_ratio", "target_ratio", least=0.5))
+    return quality.with_reason(T.spread(table(spark, sf_dir, "documents")), "text", config).where("reject_reason is null").select("doc_id", "n_length")
 
 
 @query(f"SELECT doc_id, clean AS text, n AS n_length, t AS n_target FROM {JUDGED} WHERE reject_reason IS NULL QUALIFY row_number() OVER (PARTITION BY clean ORDER BY doc_id) = 1")
@@ -223,7 +223,7 @@ def records(spark, sf_dir) -> DataFrame:
 
 
 def extracted(spark, sf_dir, how) -> DataFrame:
-    return T.with_barrier(records(spark, sf_dir), text=how(F.col("j"))).where("text is not null").select("id", "text")
+    return T.with_barrier(T.spread(records(spark, sf_dir)), text=how(F.col("j"))).where("text is not null").select("id", "text")
 
 
 @query(f"SELECT id, text FROM (SELECT id, {sql_strip('CASE kind WHEN 1 THEN x WHEN 2 THEN x ELSE x || chr(32) || y END')} AS text FROM {RECORDS}) WHERE length(text) > 10")
@@ -299,9 +299,7 @@ def by_count(words: DataFrame, word: str) -> DataFrame:
 def word_ids(spark, sf_dir) -> DataFrame:
     """item_id and the ranks of its words in the table's vocabulary."""
     each = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(T.words(F.col("text"))).alias("i", "w"))
-    counts = each.groupBy("w").agg(F.count("*").alias("n"))
-    vocab = ranked(counts, F.lit(0), [F.desc("n"), "w"], "id").select("w", F.col("id").cast("int").alias("id"))
-    return each.join(vocab, "w").groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "id"))), lambda x: x["id"]).alias("ids"))
+    return each.join(by_count(each, "w"), "w").groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "id"))), lambda x: x["id"]).alias("ids"))
 
 
 @query(f"SELECT item_id, (ids || list_resize([]::INT[], 32, 0))[1:32] AS ids FROM {IDS}")
@@ -335,7 +333,7 @@ def vocabulary_lookup(spark, sf_dir):
     from ..operators.tokenizing import looked_up
 
     each = table(spark, sf_dir, "benchmark").select(F.explode(T.words(F.col("text"))).alias("piece"))
-    vocab = ranked(each.groupBy("piece").agg(F.count("*").alias("n")), F.lit(0), [F.desc("n"), "piece"], "id").select(F.col("id").cast("int").alias("id"), "piece").where("id <= 100")
+    vocab = by_count(each, "piece").where("id <= 100")
     return looked_up(spark.range(1, 101).select(F.col("id").cast("int").alias("id")), vocab, "id", "piece", "<unk>")
 
 
@@ -457,7 +455,11 @@ def argmax_token(spark, sf_dir):
     return sampling.argmax(logits(spark, sf_dir), "vec_id", "token_id")
 
 
-@query()
+@query(f"""WITH k AS (SELECT * FROM {LOGITS} QUALIFY rank() OVER (PARTITION BY vec_id ORDER BY logit DESC) <= 40),
+    e AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY vec_id)) AS e FROM k),
+    c AS (SELECT *, sum(e / s) OVER (PARTITION BY vec_id ORDER BY logit DESC, token_id ROWS UNBOUNDED PRECEDING) AS upto FROM (SELECT *, sum(e) OVER (PARTITION BY vec_id) AS s FROM e))
+    SELECT vec_id, coalesce(arg_min(token_id, (upto, token_id)) FILTER (WHERE upto >= u), arg_min(token_id, (-logit, token_id))) AS token_id
+    FROM (SELECT *, ('0x' || substr(md5('42:' || vec_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM c) GROUP BY vec_id""")
 def multinomial_draw(spark, sf_dir):
     return sampling.drawn(sampling.top_k(logits(spark, sf_dir), "vec_id", 40), "vec_id", "token_id", 42)
 
@@ -548,7 +550,7 @@ def gradient_norm_ema(spark, sf_dir):
 
 
 # --- streaming -----------------------------------------------------------------------------------------------------
-@query()
+@query(f"SELECT DISTINCT sha256(clean) AS digest, n::INT AS n_length FROM {JUDGED} WHERE reject_reason IS NULL")
 def streaming_clean(spark, sf_dir):
     """Documents as a file stream through cleaning and deduplication; the batch query gives the same texts."""
     import uuid

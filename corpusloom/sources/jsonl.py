@@ -58,8 +58,8 @@ def peek(lines: DataFrame, order: str = "line", n: int = 3, chars: int = 300) ->
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """One object a line; nulls are left out, and text is written as it is."""
-    df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
+    """One object a line, nulls among its values; text is written as it is."""
+    df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_lines(df: DataFrame, column: str, path: str) -> None:

@@ -15,7 +15,7 @@ class RunSettings:
     batch_size: int = 8
     val_fraction: float = 0.005
     keep_best_n: int = 3
-    log_every: int = 10
+    log_every: int = 50
 
 
 SECTIONS = ("model", "training", "data", "checkpointing", "logging")

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.cleaning import judged
-from ..operators.quality import QualityConfig
+from ..operators.quality import Quality
 
 
-def clean_stream(stream: DataFrame, text: str, config: QualityConfig = QualityConfig(), event_time: str | None = None, delay: str = "1 hour") -> DataFrame:
+def clean_stream(stream: DataFrame, text: str, config: Quality = Quality(), event_time: str | None = None, delay: str = "1 hour") -> DataFrame:
     """Valid rows with ``clean``, each cleaned text once.
 
     Without ``event_time`` the state keeps a digest of every text seen; with it,

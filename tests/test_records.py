@@ -57,7 +57,7 @@ def test_prompts(spark):
 
 def test_settings():
     s = settings.resolved({"training": {"batch_size": 16, "peak": 1e-3, "zzz": 1}, "model": {"dim": 768}}, {"dim": 1024, "log_every": None}, {"peak": "learning_rate"})
-    assert (s.dim, s.batch_size, s.learning_rate, s.log_every) == (1024, 16, 1e-3, 10)
+    assert (s.dim, s.batch_size, s.learning_rate, s.log_every) == (1024, 16, 1e-3, 50)
 
 
 def simulate(rows, shared=True):
