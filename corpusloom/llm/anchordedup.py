@@ -49,13 +49,14 @@ def word_bodies(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> list[bytes]
     return [b" ".join(words[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
 
 
-def word_windows(body: bytes) -> np.ndarray:
+def word_windows(body: bytes) -> tuple[np.ndarray, list[bytes]]:
     (group,) = text_groups(pa.array([body], pa.binary()))
-    return Spans(group.words().fingerprints()).sliding(WIDTH)
+    words = body.split(b" ")
+    return Spans(group.words().fingerprints()).sliding(WIDTH), [b" ".join(words[i : i + WIDTH]) for i in range(len(words) - WIDTH + 1)]
 
 
 def word_resolver(runs: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int]]:
-    """Extends the anchors of one key: each to the fingerprints of its windows, which meet across runs."""
+    """Extends the anchors of one key to their windows, which meet across runs by fingerprint and are then compared word by word."""
     hashes, doc, start = [], [], []
     bodies = pa.array([r[3] for r in runs], pa.binary())
     row = 0
@@ -69,9 +70,20 @@ def word_resolver(runs: list[tuple[int, int, int, bytes]]) -> list[tuple[int, in
             doc.append(np.full(n, d))
             start.append(np.arange(s, s + n))
             row += 1
-    doc, start = np.concatenate(doc), np.concatenate(start)
-    again = fingerprint_groups(np.concatenate(hashes), doc, start)
-    return list(zip(doc[again].tolist(), start[again].tolist()))
+    hashes, doc, start = np.concatenate(hashes), np.concatenate(doc), np.concatenate(start)
+    again = fingerprint_groups(hashes, doc, start)
+    alike = np.flatnonzero(np.isin(hashes, hashes[again]))
+    counts = np.array([r[2] for r in runs])
+    of = np.repeat(np.arange(len(runs)), counts)[alike]
+    split = {r: runs[r][3].split(b" ") for r in np.unique(of).tolist()}
+    first: dict[tuple[bytes, ...], tuple[int, int]] = {}
+    places = []
+    for r, d, s in zip(of.tolist(), doc[alike].tolist(), start[alike].tolist()):
+        k = s - runs[r][1]
+        content = tuple(split[r][k : k + WIDTH])
+        places.append((content, (d, s)))
+        first[content] = min(first.get(content, (d, s)), (d, s))
+    return [place for content, place in places if place != first[content]]
 
 
 UNIT = Unit("anchor", WIDTH, word_anchors, word_bodies, word_windows, word_resolver)

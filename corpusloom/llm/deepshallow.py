@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 
-CHARACTER, SHALLOW, SMALL = 8, 2, 4096
+CHARACTER, SHALLOW, SMALL = 8, 2, 64
 
 
 class BlindTrie:

@@ -11,9 +11,10 @@ search is exact and never compares all pairs of anything:
    repeats in full, as their windows are.  Different runs of one key may share
    some windows; one run of each content is asked for (a request).
 3. Requests meet the documents, and what they ask for meets by key, where a
-   resolver finds the windows that start earlier in another run.  A key with
-   more runs than ``WIDE`` is asked for window by window, each window under its
-   own fingerprint, so that no task gets an unbounded group.
+   resolver compares them and finds the windows that start earlier in another
+   run.  A key with more runs than ``WIDE`` is asked for window by window, each
+   under its own fingerprint and once a batch, so that no task gets an unbounded
+   group; these meet a resolver too.
 4. Spans meet the documents again and are merged.
 """
 
@@ -52,8 +53,8 @@ class Unit:
     anchors: Callable[[Texts], tuple[np.ndarray, ...]]
     #: Bodies of units start .. end of single texts.
     bodies: Callable[[bytes, np.ndarray, np.ndarray], list[bytes]]
-    #: Fingerprints of all windows of a body.
-    windows: Callable[[bytes], np.ndarray]
+    #: Fingerprints and bodies of all windows of a body.
+    windows: Callable[[bytes], tuple[np.ndarray, list[bytes]]]
     #: Given the runs of one key (doc, start, n, body), the (doc, start) of windows that also start earlier.
     resolve: Callable[[list[tuple[int, int, int, bytes]]], list[tuple[int, int]]]
 
@@ -232,7 +233,7 @@ def _bodies(docs: DataFrame, found: DataFrame, unit: Unit, buckets: int) -> Data
         if not len(asked):
             return
         out: list[tuple] = []
-        seen: dict[int, tuple[int, int]] = {}  # windows of wide keys that this batch has met
+        seen: dict[tuple[int, bytes], tuple[int, int]] = {}  # windows of wide keys that this batch has met
         ids = part.column(0)
         for row, raw, mine in each_document(part, asked):
             if not len(mine):
@@ -244,15 +245,16 @@ def _bodies(docs: DataFrame, found: DataFrame, unit: Unit, buckets: int) -> Data
                 if not wide:
                     out.append((key - (1 << 64) if key >> 63 else key, doc, start, n, False, body))
                     continue
-                for k, h in enumerate(unit.windows(body).view(np.int64).tolist()):
+                hashes, contents = unit.windows(body)
+                for k, window in enumerate(zip(hashes.view(np.int64).tolist(), contents)):
                     here = (doc, start + k)
-                    first = seen.setdefault(h, here)
+                    first = seen.setdefault(window, here)
                     if first == here:
                         continue
                     later = max(first, here)
-                    seen[h] = min(first, here)
-                    out.append((h, *later, 1, True, None))
-        out += [(h, *here, 1, False, None) for h, here in seen.items()]
+                    seen[window] = min(first, here)
+                    out.append((window[0], *later, 1, True, None))
+        out += [(h, *here, 1, False, content) for (h, content), here in seen.items()]
         columns = list(zip(*out)) or [[]] * 6
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "doc", "start", "n", "covered", "body"])
@@ -276,28 +278,25 @@ def _resolved(bodies: DataFrame, unit: Unit, buckets: int) -> DataFrame:
             blobs = _blobs(spans, xxhash64_long(spans["doc"]) % buckets, buckets)
             return pa.RecordBatch.from_arrays([pa.array(list(blobs), pa.int32()), pa.array(list(blobs.values()), pa.binary())], names=["place", "records"])
 
-        at, runs, single = None, [], []
+        at, runs = None, []
         for batch in batches:
             for key, doc, start, n, covered, body in zip(*(batch.column(c).to_pylist() for c in range(6))):
                 if key != at:
-                    found += settled(runs, single)
-                    at, runs, single = key, [], []
+                    found += settled(runs)
+                    at, runs = key, []
                 if covered:
                     found.append((doc, start))
-                elif body is None:
-                    single.append((doc, start))
                 else:
                     runs.append((doc, start, n, body))
             if len(found) > 500_000:
                 yield flush()
                 found = []
-        found += settled(runs, single)
+        found += settled(runs)
         if found:
             yield flush()
 
-    def settled(runs: list, single: list) -> list[tuple[int, int]]:
-        first = min(single, default=None)
-        return [s for s in single if s != first] + (unit.resolve(runs) if len(runs) > 1 else [])
+    def settled(runs: list) -> list[tuple[int, int]]:
+        return unit.resolve(runs) if len(runs) > 1 else []
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return bodies.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "place int, records binary")

@@ -76,7 +76,7 @@ def byte_bodies(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> list[bytes]
 
 
 def byte_windows(width: int):
-    return lambda body: Spans(BYTE_VALUE[np.frombuffer(body, np.uint8)]).sliding(width)
+    return lambda body: (Spans(BYTE_VALUE[np.frombuffer(body, np.uint8)]).sliding(width), [body[i : i + width] for i in range(len(body) - width + 1)])
 
 
 def byte_resolver(width: int):

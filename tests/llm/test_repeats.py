@@ -96,3 +96,21 @@ def test_joined_hash_is_sparks(spark):
     ids = [0, 1, -5, 2**62, -(2**63)]
     got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "x long").selectExpr("xxhash64(x)").collect()]
     assert repeats.xxhash64_long(np.array(ids)).tolist() == got
+
+
+def test_texts_longer_than_a_stretch(spark):
+    """A text of over 4 MiB is searched as one: what lies across the ends of its stretches too."""
+    rng = random.Random(9)
+    words = [f"{rng.randrange(16**6):06x}" for _ in range(800_000)]
+    long = " ".join(words)
+    border = 1 << suffixdedup.PLACE_BITS
+    assert len(long) > border + 10**6
+    copied = "".join(long[border - 250 : border + 50])
+    rows = [(1, long), (2, "# " + copied + " #"), (3, "% " + " ".join(words[700_000:700_030]) + " %"), (4, long[-99:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffixdedup.kept_text(df).collect()}
+    # Words 700,000 to 700,029 and the space before and after them.
+    assert got == {1: (len(long), 0, 0), 2: (304, 300, 1), 3: (213, 211, 1), 4: (99, 0, 0)}
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in anchordedup.kept_words(df).collect()}
+    whole = len(copied.split()) - (long[border - 251] != " " and long[border - 250] != " ") - (long[border + 50] != " " and long[border + 49] != " ")
+    assert got == {1: (800_000, 0), 2: (len(rows[1][1].split()), whole), 3: (32, 30), 4: (len(rows[3][1].split()), 0)}
