@@ -1,13 +1,15 @@
-"""Token ids of whole texts by a public tokenizer, one call of it per distinct piece of text.
+"""Token ids of whole texts by a public tokenizer file.
 
-The tokenizer never merges across white space, nor between an ASCII letter and
-an ASCII character that is neither letter nor apostrophe, so a text's ids are
-those of its pieces in order.  Distinct pieces are encoded once a worker and
-kept in a bounded table; texts are then put together by array operations.
+A tokenizer of lower-cased words never merges across white space, nor between an
+ASCII letter and an ASCII character that is neither letter nor apostrophe, so a
+text's ids are those of its pieces in order.  Distinct pieces are encoded once a
+worker and kept in a bounded table; texts are then put together by array
+operations.  Any other tokenizer, as told by its file, gets whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,6 +32,18 @@ LETTER[[*range(65, 91), *range(97, 123)]] = True
 UPPER = np.zeros(256, bool)
 UPPER[65:91] = True
 
+# How a tokenizer file says that it lower-cases and splits as the pieces here need it.
+LOWERED = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT_AT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def takes_pieces(file: dict) -> bool:
+    """Whether a tokenizer file is of lower-cased words, split by SPLIT_AT into parts that are encoded alone."""
+    steps = (file.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    split = {"type": "Split", "pattern": {"Regex": SPLIT_AT}, "behavior": "Removed", "invert": True}
+    lowered = (file.get("normalizer") or {}).get("normalizers") == LOWERED
+    return lowered and steps[0] == split and all(s.get("type") == "ByteLevel" and not s.get("add_prefix_space") and not s.get("use_regex") for s in steps[1:])
+
 
 class Encoder:
     """Ids of texts under a tokenizer file of the ``tokenizers`` library."""
@@ -39,6 +53,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.by_pieces = takes_pieces(json.load(f))
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.forget()
@@ -76,6 +92,11 @@ class Encoder:
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents, each followed by END_ID, and the offsets of documents."""
+        if not self.by_pieces:
+            every = texts.data.tobytes()
+            made = self._raw([every[a:b].decode("utf-8", "replace") for a, b in zip(texts.offsets[:-1].tolist(), texts.offsets[1:].tolist())])
+            offsets = np.concatenate([[0], np.cumsum([len(m) + 1 for m in made])]).astype(np.int64)
+            return np.fromiter((i for m in made for i in (*m, END_ID)), self.kind, int(offsets[-1])), offsets
         raw = texts.data.tobytes() if any(len(texts.data) >= len(s) for s in self.special) else b""
         whole = set()
         for mark in self.special:

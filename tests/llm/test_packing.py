@@ -11,9 +11,9 @@ from corpusloom.llm.textarrays import text_groups
 ODD = ["H̱ x Å", "don't, 'tis a',b x'rex 12ab3 <|endoftext|> hi <|ENDOFTEXT|>", "…,— word—word", "", "\x1c a\x00b ΣΑΣ. Σ'", "a b  Ć", "x" * 5000, "many short words " * 3000]
 
 
-def ids_of(texts):
+def ids_of(texts, path=None):
     out = []
-    enc = tokens.encoder(None)
+    enc = tokens.encoder(path)
     for group in text_groups(pa.array(texts)):
         ids, offsets = enc.encode(group)
         out += [ids[a:b].astype("<u4") for a, b in zip(offsets[:-1], offsets[1:])]
@@ -25,6 +25,25 @@ def test_pieces_give_the_tokenizer_s_ids():
     assert [list(i) for i in ids_of(ODD)] == [e.ids + [1] for e in tok.encode_batch(ODD, add_special_tokens=False)]
 
 
+def test_other_tokenizers_get_whole_texts(spark, tmp_path):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    cased = Tokenizer(models.WordLevel({"Hello": 1, "hello": 2, "?": 0}, unk_token="?"))
+    cased.pre_tokenizer = pre_tokenizers.Whitespace()
+    cased.save(str(tmp_path / "cased.json"))
+    assert [x.tolist() for x in ids_of(["Hello hello", "", "HELLO"], str(tmp_path / "cased.json"))] == [[1, 2, 1], [1], [0, 1]]
+    texts = [*ODD, "The Quick brown fox, Hello World", "  two  spaces\n\nlines\t", ""]
+    tok = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    want = [e.ids + [1] for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in ids_of(texts, path("byte_bpe_50k.json"))] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'s' AS source")
+    got = packing.pack(docs, tokenizer=path("byte_bpe_50k.json")).collect()
+    assert {r.doc_id: r.doc_tokens for r in got} == {d: len(w) for d, w in enumerate(want)}
+    assert all(r.ids_crc32 == zlib.crc32(np.array(want[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) for r in got)
+    assert tokens.encoder(None).by_pieces and not tokens.encoder(path("byte_bpe_50k.json")).by_pieces
+
+
 def test_schedule_is_the_round_robin():
     rng = random.Random(0)
     for _ in range(20):
