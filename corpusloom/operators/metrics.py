@@ -65,9 +65,10 @@ def macro_average(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.count("*").alias("n"), *(F.coalesce(F.avg(c), F.lit(0.0)).alias(f"avg_{c}") for c in columns))
 
 
-def perplexity(df: DataFrame, batch: str, loss: str) -> DataFrame:
-    """Mean of batch means, and its exponential with the exponent capped at 20."""
-    mean = df.groupBy(batch).agg(F.avg(loss).alias("l")).agg(F.avg("l").alias("avg_loss"), F.count("*").alias("n_batches"))
+def perplexity(df: DataFrame, batch: str, loss: str, most: int | None = None) -> DataFrame:
+    """Mean of batch means, and its exponential with the exponent capped at 20; with ``most`` only of batches 0 to most - 1."""
+    rows = df if most is None else df.where(F.col(batch) < most)
+    mean = rows.groupBy(batch).agg(F.avg(loss).alias("l")).agg(F.avg("l").alias("avg_loss"), F.count("*").alias("n_batches"))
     return mean.select("avg_loss", F.exp(F.least("avg_loss", F.lit(20.0))).alias("perplexity"), "n_batches")
 
 
@@ -76,5 +77,12 @@ def parameter_count(shapes: DataFrame, shape: str = "shape", trainable: str = "t
     return shapes.select(n.alias("n"), F.col(trainable).alias("t")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum(F.when(F.col("t"), F.col("n"))), F.lit(0)).alias("trainable"))
 
 
+def parameter_summary(shapes: DataFrame, component: str = "component", shape: str = "shape") -> DataFrame:
+    """Each component's parameters and its share of all; components are few."""
+    n = F.aggregate(F.col(shape), F.lit(1).cast("long"), lambda a, x: a * x)
+    each = shapes.groupBy(component).agg(F.sum(n).alias("n"))
+    return each.crossJoin(each.agg(F.sum("n").alias("_all"))).select(component, "n", (F.col("n") / F.greatest(F.lit(1), "_all")).alias("share"))  # the total is one row
+
+
 def ratio_percent(part: Column, whole: Column) -> Column:
     return 100.0 * part / F.greatest(F.lit(1), whole)

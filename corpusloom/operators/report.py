@@ -15,7 +15,7 @@ def nested(parts: dict[str, DataFrame]) -> DataFrame:
 
 
 def as_json(report: DataFrame) -> DataFrame:
-    return report.select(F.to_json(F.struct(*report.columns), {"pretty": "true"}).alias("value"))
+    return report.select(F.to_json(F.struct(*report.columns), {"pretty": "true", "ignoreNullFields": "false"}).alias("value"))
 
 
 def write(report: DataFrame, path: str) -> None:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rate
 from .ordering import running
 
 
@@ -21,6 +23,32 @@ def best_checkpoints(df: DataFrame, keep: int = 3, loss: str = "val_loss", step:
     return df.orderBy(loss, step).limit(keep)
 
 
+def retained(df: DataFrame, keep: int = 3, loss: str = "val_loss", step: str = "step", path: str = "path") -> DataFrame:
+    """Every saved path once, by its last save, and whether it is ``kept`` (``keep`` least losses, earlier steps first) or pruned.
+
+    A path that is saved again replaces itself and never prunes its own files.
+    Saves without a path are left out; one without a loss is the worst.
+    """
+    last = df.where(F.col(path).isNotNull()).groupBy(path).agg(F.max(step).alias(step), F.max_by(loss, step).alias(loss))
+    best = last.orderBy(F.asc_nulls_last(loss), step, path).limit(keep).select(path, F.lit(True).alias("kept"))
+    return last.join(F.broadcast(best), path, "left").withColumn("kept", F.coalesce("kept", F.lit(False)))  # keep rows
+
+
+def metric_log(df: DataFrame, every: int, step: str, loss: str, norm: str, tokens: str, elapsed: str, rate_of: Callable[[Column], Column]) -> DataFrame:
+    """A row for each full window of ``every`` steps (numbered from 1), as training logs them.
+
+    step (its last), loss (mean), perplexity, lr (``rate_of`` the step counted
+    from 0), grad_norm (of the last step), tokens_per_sec (all tokens so far by
+    the seconds of the last step since the beginning).
+    """
+    n = F.col(step)
+    seen = tokens_seen(df.select(step, loss, norm, tokens, elapsed), step, tokens)
+    last = n % every == 0
+    w = seen.groupBy(F.floor((n - 1) / every).alias("_w")).agg(F.count("*").alias("_n"), F.max(step).alias("step"), F.avg(loss).alias("loss"), *(F.max(F.when(last, F.col(c))).alias(to) for c, to in ((norm, "grad_norm"), ("tokens_seen", "_t"), (elapsed, "_s"))))
+    w = w.where(F.col("_n") == every)
+    return w.select("step", "loss", F.exp(F.least("loss", F.lit(20.0))).alias("perplexity"), rate_of(F.col("step") - 1).alias("lr"), "grad_norm", rate(F.col("_t"), F.col("_s")).alias("tokens_per_sec"))
+
+
 def window_means(df: DataFrame, step: str, value: str, every: int) -> DataFrame:
     """Mean of each full window of ``every`` steps (numbered from 1); a partial last one is not reported."""
     w = df.groupBy(F.floor((F.col(step) - 1) / every).cast("long").alias("window")).agg(F.sum(value).alias("total"), F.count("*").alias("n"))

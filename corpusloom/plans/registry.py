@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import sequences as S
 from ..functions import tensors
 from ..functions import text as T
-from ..operators import cleaning, dedup, extract, metrics, quality, report, sampling, schedule, splits
+from ..functions.numbers import rounded
+from ..operators import cleaning, dedup, evaluation, extract, metrics, quality, report, sampling, schedule, splits
 from ..operators.ordering import range_bucket, ranked
 
 QUERIES: dict = {}
@@ -327,14 +328,14 @@ def token_accuracy(spark, sf_dir):
     return out.select("correct", "total", micro(F.col("accuracy")).alias("accuracy_millionths"))
 
 
-@query(f"SELECT piece, id FROM (SELECT w AS piece, id FROM {VOCAB}) WHERE id <= 100")
+@query(f"SELECT w AS piece, id FROM {VOCAB}")
 def vocabulary_lookup(spark, sf_dir):
-    """Pieces of ids 1 to 100, by a broadcast of the (bounded) vocabulary."""
+    """The piece of every id of the vocabulary."""
     from ..operators.tokenizing import looked_up
 
     each = table(spark, sf_dir, "benchmark").select(F.explode(T.words(F.col("text"))).alias("piece"))
-    vocab = by_count(each, "piece").where("id <= 100")
-    return looked_up(spark.range(1, 101).select(F.col("id").cast("int").alias("id")), vocab, "id", "piece", "<unk>")
+    vocab = by_count(each, "piece")
+    return looked_up(vocab.select("id"), vocab, "id", "piece", "<unk>", bounded=False).select("piece", "id")
 
 
 @query(f"SELECT w AS piece, id, w AS back FROM {VOCAB}")
@@ -424,6 +425,114 @@ def parameter_counts(spark, sf_dir):
     return metrics.parameter_count(spark.createDataFrame(layers, "shape array<long>, trainable boolean"))
 
 
+@query("SELECT event_id, format('{:.1f}', value)::DOUBLE AS tenths, format('{:.2f}', value / 8)::DOUBLE AS hundredths, format('{:.4f}', value / 3)::DOUBLE AS ten_thousandths FROM events")
+def half_even_rounding(spark, sf_dir):
+    v = F.col("value")
+    return events(spark, sf_dir).select("event_id", rounded(v, 1).alias("tenths"), rounded(v / 8, 2).alias("hundredths"), rounded(v / 3, 4).alias("ten_thousandths"))
+
+
+@query("""SELECT floor(avg(l) * 1e4 + 0.5)::BIGINT AS loss_ten_thousandths, floor(exp(least(avg(l), 20)) * 1e4 + 0.5)::BIGINT AS perplexity_ten_thousandths, count(*) AS n_batches FROM
+    (SELECT avg(value / 100) AS l FROM (SELECT value, (row_number() OVER (ORDER BY event_id) - 1) // 8 AS b FROM events) WHERE b < 50 GROUP BY b)""")
+def validation_perplexity(spark, sf_dir):
+    """Validation stops after 50 batches."""
+    p = metrics.perplexity(losses(spark, sf_dir), "batch_id", "loss", 50)
+    return p.select(*(F.floor(F.col(c) * 1e4 + 0.5).cast("long").alias(f"{to}_ten_thousandths") for c, to in (("avg_loss", "loss"), ("perplexity", "perplexity"))), "n_batches")
+
+
+def losses(spark, sf_dir) -> DataFrame:
+    return splits.batched(events(spark, sf_dir).withColumn("loss", F.col("value") / 100), "event_id", 8)
+
+
+def answers(spark, sf_dir) -> DataFrame:
+    """Each conversation's answer as the text generated for its question."""
+    return pairs(spark, sf_dir).select(F.col("conv_id").alias("id"), F.col("u").alias("prompt"), F.col("a").alias("output"))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    from ..plans.checkpoints import ensure_checkpoint_dir
+
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+SAMPLED = f"""(SELECT u, a, w, CASE WHEN {VISIBLE} = 0 THEN 0 ELSE {TARGET}::DOUBLE / {VISIBLE} END AS target_ratio, CASE WHEN {VISIBLE} = 0 THEN 0 ELSE {LATIN}::DOUBLE / {VISIBLE} END AS latin_ratio,
+    {', '.join(f"CASE WHEN len({NGRAMS('w', n)}) = 0 THEN 0 ELSE {top}::DOUBLE / len({NGRAMS('w', n)}) END AS {name}" for n, name, top in ((1, 'distinct_1', f"len(list_distinct({NGRAMS('w', 1)}))"), (2, 'distinct_2', f"len(list_distinct({NGRAMS('w', 2)}))"), (4, 'repetition_rate', f"(len({NGRAMS('w', 4)}) - len(list_distinct({NGRAMS('w', 4)})))")))}
+    FROM (SELECT u, a, a AS clean, {WORDS('a')} AS w FROM {PAIRS} WHERE u <> '' AND a <> ''))"""
+MEASURES = ("target_ratio", "latin_ratio", "distinct_1", "distinct_2", "repetition_rate")
+
+
+@query(f"""SELECT u AS prompt, a AS generated, len(w)::BIGINT AS n_tokens, {', '.join(f"format('{{:.4f}}', {m}::DOUBLE)::DOUBLE AS {m}" for m in evaluation.SHARES)} FROM {SAMPLED}""")
+def generation_samples(spark, sf_dir):
+    return evaluation.samples(answers(spark, sf_dir))
+
+
+@query(f"""SELECT 'answers' AS model, l.*, t.*, q.*, b.bleu_millionths, c.chrf_millionths FROM ({ORACLES['perplexity']}) l, ({ORACLES['token_accuracy']}) t, ({ORACLES['bleu']}) b, ({ORACLES['chrf']}) c,
+    (SELECT count(*) AS n_prompts, count(*) AS n_samples, floor(avg(len(w)) * 1e6 + 0.5)::BIGINT AS n_tokens_millionths, {', '.join(f'floor(avg({m}) * 1e6 + 0.5)::BIGINT AS {m}_millionths' for m in MEASURES)} FROM {SAMPLED}) q""")
+def full_evaluation(spark, sf_dir):
+    """Report and samples are written to the shared folder; the row is what the files say."""
+    folder = shared_folder(spark, "evaluation")
+    p, r = S.shifted(F.col("ids"))
+    predicted = word_ids(spark, sf_dir).select(r.alias("ref"), p.alias("pred"))
+    evaluation.evaluate(losses(spark, sf_dir), predicted, answers(spark, sf_dir), folder, ignore_id=1, about={"model": "answers"})
+    value = lambda path, kind="double": F.get_json_object("value", f"$.{path}").cast(kind)
+    row = spark.read.text(f"{folder}/report", wholetext=True).select(
+        value("run.model", "string").alias("model"),
+        F.floor(value("perplexity.avg_loss") * 1e4 + 0.5).cast("long").alias("loss_ten_thousandths"),
+        value("perplexity.n_batches", "long").alias("n_batches"),
+        value("token_accuracy.correct", "long").alias("correct"),
+        value("token_accuracy.total", "long").alias("total"),
+        micro(value("token_accuracy.accuracy")).alias("accuracy_millionths"),
+        value("generation_quality.n_prompts", "long").alias("n_prompts"),
+        *(micro(value(f"generation_quality.avg_{m}")).alias(f"{m}_millionths") for m in ("n_tokens", *MEASURES)),
+        micro(value("generation_quality.corpus_bleu")).alias("bleu_millionths"),
+        micro(value("generation_quality.corpus_chrf")).alias("chrf_millionths"),
+    )
+    return row.crossJoin(spark.read.text(f"{folder}/samples").agg(F.count("*").alias("n_samples")))  # one row each
+
+
+def backwards():
+    """A stand-in for a model: the prompt's words from the last to the first, a tenth of a second for each letter of the first word but one."""
+    import pandas as pd
+
+    def run(prompts: pd.Series) -> pd.DataFrame:
+        words = prompts.str.split()
+        return pd.DataFrame({"output": words.map(lambda w: " ".join(reversed(w))), "n_tokens": words.map(len).astype("int64"), "seconds": words.map(lambda w: (len(w[0]) - 1) / 10 if w else 0.0).astype("float64")})
+
+    return run
+
+
+@query(f"""SELECT u AS prompt, array_to_string(list_reverse(w), ' ') AS output, format('{{:.2f}}', len(w) / greatest(coalesce(length(w[1]) - 1, 0)::DOUBLE / 10, 1e-6::DOUBLE))::DOUBLE AS tokens_per_sec
+    FROM (SELECT u, {WORDS('u')} AS w FROM {PAIRS} WHERE u <> '' AND a <> '')""")
+def batch_generation(spark, sf_dir):
+    """Results are written as JSON lines to the shared folder and read again."""
+    folder = shared_folder(spark, "generated")
+    evaluation.write_batch(evaluation.generated(answers(spark, sf_dir).select("prompt"), backwards), folder)
+    return spark.read.schema("prompt string, output string, tokens_per_sec double").json(folder)
+
+
+@query(f"""WITH k AS (SELECT DISTINCT clean FROM {JUDGED} WHERE reject_reason IS NULL)
+    SELECT sha256(clean) AS digest, (SELECT count(*) FROM documents) AS n_in, (SELECT count(*) FROM k) AS n_out FROM k""")
+def json_lines_clean(spark, sf_dir):
+    """Documents as JSON lines through the reader, cleaning and the writer; rows are those of the written files."""
+    from ..sources import jsonl
+
+    folder = shared_folder(spark, "lines")
+    jsonl.write_json(documents(spark, sf_dir).select("text"), f"{folder}/raw")
+    lines = jsonl.read_lines(spark, f"{folder}/raw", f"{folder}/numbered")
+    jsonl.write_json(cleaning.clean_json(lines, "monolingual").rows.select("text"), f"{folder}/clean")
+    out = spark.read.schema("text string").json(f"{folder}/clean")
+    counts = lines.agg(F.count("*").alias("n_in")).crossJoin(out.agg(F.count("*").alias("n_out")))
+    return out.select(F.sha2("text", 256).alias("digest")).crossJoin(F.broadcast(counts))  # counts are one row
+
+
+@query("SELECT component, n::BIGINT AS n, floor(share * 1e6 + 0.5)::BIGINT AS share_millionths FROM (VALUES ('embedding', 16384000, 16384000 / (16384000 + 8 * (786432 + 512))::DOUBLE), ('layers', 8 * (786432 + 512), 8 * (786432 + 512) / (16384000 + 8 * (786432 + 512))::DOUBLE)) t(component, n, share)")
+def model_summary(spark, sf_dir):
+    layers = [("embedding", [32000, 512]), *[x for _ in range(8) for x in (("layers", [512, 1536]), ("layers", [512]))]]
+    m = metrics.parameter_summary(spark.createDataFrame(layers, "component string, shape array<long>"))
+    return m.select("component", "n", micro(F.col("share")).alias("share_millionths"))
+
+
 # --- decoding filters ----------------------------------------------------------------------------------------------
 @query(f"SELECT vec_id, token_id, floor(exp(x - m) / sum(exp(x - m)) OVER (PARTITION BY vec_id) * 1e6 + 0.5)::BIGINT AS p_millionths FROM (SELECT vec_id, token_id, logit / 0.7 AS x, max(logit / 0.7) OVER (PARTITION BY vec_id) AS m FROM {LOGITS})")
 def softmax_temperature(spark, sf_dir):
@@ -518,6 +627,25 @@ def best_checkpoints(spark, sf_dir):
     return schedule.best_checkpoints(events(spark, sf_dir).select(F.col("event_id").alias("step"), F.col("value").alias("val_loss")))
 
 
+@query("""WITH l AS (SELECT 'ckpt-' || (event_id // 2) AS path, max(event_id) AS step, arg_max(value, event_id) AS val_loss FROM events GROUP BY 1)
+    SELECT path, step, val_loss, row_number() OVER (ORDER BY val_loss, step, path) <= 3 AS kept FROM l""")
+def checkpoint_retention(spark, sf_dir):
+    """Two saves to each path, of which the second counts."""
+    path = F.concat(F.lit("ckpt-"), F.floor(F.col("event_id") / 2).cast("string"))
+    return schedule.retained(events(spark, sf_dir).select(F.col("event_id").alias("step"), F.col("value").alias("val_loss"), path.alias("path"))).select("path", "step", "val_loss", "kept")
+
+
+@query("""SELECT step, floor(loss * 1e6 + 0.5)::BIGINT AS loss_millionths, floor(exp(least(loss, 20)) * 1e4 + 0.5)::BIGINT AS perplexity_ten_thousandths, grad_norm, floor(seen / (step / 4.0::DOUBLE) * 1e2 + 0.5)::BIGINT AS tokens_per_sec_hundredths,
+        floor((CASE WHEN step <= 200 THEN 3e-4::DOUBLE * step / 200 ELSE 3e-5::DOUBLE + 0.5 * (1 + cos(pi() * ((step - 201)::DOUBLE / 9800))) * (3e-4::DOUBLE - 3e-5::DOUBLE) END) * 1e9 + 0.5)::BIGINT AS lr_billionths
+    FROM (SELECT max(event_id) + 1 AS step, avg(value / 100) AS loss, arg_max(value, event_id) AS grad_norm, max(seen) AS seen FROM (SELECT *, sum(8 * 512 + user_id) OVER (ORDER BY event_id)::BIGINT AS seen FROM events) GROUP BY event_id // 50 HAVING count(*) = 50)""")
+def metric_log(spark, sf_dir):
+    """A log line every 50 steps, a quarter of a second each."""
+    e = events(spark, sf_dir).select((F.col("event_id") + 1).alias("step"), (F.col("value") / 100).alias("loss"), F.col("value").alias("norm"), (F.lit(8 * 512) + F.col("user_id")).alias("tokens"), ((F.col("event_id") + 1) / 4.0).alias("seconds"))
+    m = schedule.metric_log(e, 50, "step", "loss", "norm", "tokens", "seconds", lambda s: schedule.learning_rate(s, 3e-4, 3e-5, 200, 10_000))
+    whole = lambda c, n: F.floor(F.col(c) * n + 0.5).cast("long")
+    return m.select("step", whole("loss", 1e6).alias("loss_millionths"), whole("perplexity", 1e4).alias("perplexity_ten_thousandths"), "grad_norm", whole("tokens_per_sec", 1e2).alias("tokens_per_sec_hundredths"), whole("lr", 1e9).alias("lr_billionths"))
+
+
 @query('SELECT event_id // 10 AS "window", floor(sum(value) / 10 * 1e4 + 0.5)::BIGINT AS mean_ten_thousandths FROM events GROUP BY event_id // 10 HAVING count(*) = 10')
 def log_windows(spark, sf_dir):
     w = schedule.window_means(events(spark, sf_dir).withColumn("step", F.col("event_id") + 1), "step", "value", 10)
@@ -543,10 +671,11 @@ def gradient_accumulation(spark, sf_dir):
 @query("""WITH RECURSIVE o AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
     r AS (SELECT user_id, event_id, k, 0.0::DOUBLE AS before, 0.02 * value AS ema, value FROM o WHERE k = 1
           UNION ALL SELECT o.user_id, o.event_id, o.k, r.ema, 0.98 * r.ema + 0.02 * o.value, o.value FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1)
-    SELECT user_id, event_id, floor(ema * 1e4 + 0.5)::BIGINT AS ema_ten_thousandths, event_id > 200 AND before > 0 AND value > 2 * before AS spike FROM r""")
+    SELECT user_id, event_id, floor(ema * 1e4 + 0.5)::BIGINT AS ema_ten_thousandths, event_id > 200 AND before > 0 AND value > 2 * before AS spike,
+        CASE WHEN event_id > 200 AND before > 0 AND value > 2 * before THEN floor(before / value * 1e6 + 0.5)::BIGINT ELSE 1000000 END AS lr_scale_millionths FROM r""")
 def gradient_norm_ema(spark, sf_dir):
     s = schedule.smoothed_norms(events(spark, sf_dir), "user_id", "event_id", "value", 200)
-    return s.select("user_id", "event_id", F.floor(F.col("ema") * 1e4 + 0.5).cast("long").alias("ema_ten_thousandths"), "spike")
+    return s.select("user_id", "event_id", F.floor(F.col("ema") * 1e4 + 0.5).cast("long").alias("ema_ten_thousandths"), "spike", micro(F.col("lr_scale")).alias("lr_scale_millionths"))
 
 
 # --- streaming -----------------------------------------------------------------------------------------------------

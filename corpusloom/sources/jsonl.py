@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,16 @@ def read_prompts(spark: SparkSession, path: str) -> DataFrame:
     return prompts(files.select(F.explode(records).alias("value")))
 
 
+def corpus_file(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a prepared corpus, one text a line; blank lines go.  A path without files raises FileNotFoundError."""
+    try:
+        return spark.read.text(path).select(F.col("value").alias("text")).where(T.strip(F.col("text")) != "")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise FileNotFoundError(path) from e
+
+
 def plain_prompts(lines: DataFrame) -> DataFrame:
     return lines.select(T.strip(F.col("value")).alias("prompt")).where("prompt != ''")
 
