@@ -9,34 +9,34 @@ from ..functions import sequences as S
 from ..functions import text as T
 
 
-def _counts(df: DataFrame, side: str, id_col: str, orders: int, chars: bool) -> DataFrame:
-    c = F.col(side)
-    items = F.filter(F.split(c, ""), lambda x: x != "") if chars else T.words(c)
-    base = T.with_barrier(df.select(F.col(id_col).alias("pair"), c.alias(side)), items=items).select("pair", "items")
-    every = base.select("pair", F.explode(F.array(*(F.struct(F.lit(n).alias("n"), S.ngrams(F.col("items"), n).alias("grams")) for n in range(1, orders + 1)))).alias("o"))
-    return every.select("pair", "o.n", F.explode("o.grams").alias("gram")).groupBy("pair", "n", "gram").agg(F.count("*").alias(f"{side}_count"))
-
-
 def matched(df: DataFrame, id_col: str, ref: str, hyp: str, orders: int, chars: bool = False) -> DataFrame:
-    """n, hits (multiset intersection), hyp_total, ref_total for every order from 1 to ``orders``, also where there is nothing."""
-    h, r = _counts(df, hyp, id_col, orders, chars), _counts(df, ref, id_col, orders, chars)
-    both = h.join(r, ["pair", "n", "gram"]).groupBy("n").agg(F.sum(F.least(f"{hyp}_count", f"{ref}_count")).alias("hits"))
+    """n, hits (multiset intersection), hyp_total, ref_total for every order from 1 to ``orders``, also where there is nothing.
+
+    Both sides are read and counted together, by one shuffle on the n-gram of a pair.
+    """
+    items = lambda c: F.filter(F.split(F.col(c), ""), lambda x: x != "") if chars else T.words(F.col(c))
+    sides = F.explode(F.array(F.struct(F.lit(True).alias("is_hyp"), items("h").alias("x")), F.struct(F.lit(False).alias("is_hyp"), items("r").alias("x")))).alias("side")
+    base = df.select(F.col(id_col).alias("pair"), F.col(ref).alias("r"), F.col(hyp).alias("h")).select("pair", sides).select("pair", "side.is_hyp", F.col("side.x").alias("items"))
+    # Of a given order, words joined by a space and characters joined by nothing stay distinct.
+    joined = lambda n: F.transform(S.ngrams(F.col("items"), n), lambda g: F.array_join(g, "" if chars else " "))
+    every = base.select("pair", "is_hyp", F.explode(F.array(*(F.struct(F.lit(n).alias("n"), joined(n).alias("grams")) for n in range(1, orders + 1)))).alias("o"))
+    grams = every.select("pair", "is_hyp", "o.n", F.explode("o.grams").alias("gram"))
+    counts = grams.groupBy("pair", "n", "gram").agg(F.count_if("is_hyp").alias("h"), F.count_if(~F.col("is_hyp")).alias("r"))
+    found = counts.groupBy("n").agg(F.sum(F.least("h", "r")).alias("hits"), F.sum("h").alias("hyp_total"), F.sum("r").alias("ref_total"))
     dense = df.sparkSession.range(1, orders + 1).select(F.col("id").cast("int").alias("n"))
-    total = lambda d, c, name: d.groupBy("n").agg(F.sum(c).alias(name))
-    out = dense.join(both, "n", "left").join(total(h, f"{hyp}_count", "hyp_total"), "n", "left").join(total(r, f"{ref}_count", "ref_total"), "n", "left")
-    return out.na.fill(0, ["hits", "hyp_total", "ref_total"])
+    return dense.join(F.broadcast(found), "n", "left").na.fill(0, ["hits", "hyp_total", "ref_total"])  # a row an order
 
 
 def bleu(df: DataFrame, id_col: str, ref: str, hyp: str, max_order: int = 4, smooth: bool = True) -> DataFrame:
-    """bleu, brevity_penalty, precisions, ref_len, hyp_len of a corpus of pairs."""
+    """bleu, brevity_penalty, precisions, ref_len, hyp_len of a corpus of pairs; lengths are totals of the first order."""
     one = 1.0 if smooth else 0.0
     p = F.when(F.col("hyp_total") == 0, 0.0).otherwise((F.col("hits") + one) / (F.col("hyp_total") + one))
     orders = matched(df, id_col, ref, hyp, max_order).withColumn("p", p)
-    lengths = df.agg(F.coalesce(F.sum(F.size(T.words(F.col(ref)))), F.lit(0)).alias("ref_len"), F.coalesce(F.sum(F.size(T.words(F.col(hyp)))), F.lit(0)).alias("hyp_len"))
+    length = lambda c: F.max(F.when(F.col("n") == 1, F.col(c)))
     mean = F.when(F.min("p") > 0, F.exp(F.sum(F.ln(F.greatest("p", F.lit(1e-300)))) / max_order)).otherwise(0.0)
-    agg = orders.agg(mean.alias("mean"), F.transform(F.array_sort(F.collect_list(F.struct("n", "p"))), lambda x: x["p"]).alias("precisions"))
+    agg = orders.agg(length("ref_total").alias("ref_len"), length("hyp_total").alias("hyp_len"), mean.alias("mean"), F.transform(F.array_sort(F.collect_list(F.struct("n", "p"))), lambda x: x["p"]).alias("precisions"))
     penalty = F.when(F.col("hyp_len") == 0, 0.0).when(F.col("hyp_len") >= F.col("ref_len"), 1.0).otherwise(F.exp(1 - F.col("ref_len") / F.greatest("hyp_len", F.lit(1))))
-    return lengths.crossJoin(agg).select((penalty * F.col("mean")).alias("bleu"), penalty.alias("brevity_penalty"), "precisions", "ref_len", "hyp_len")  # one row each
+    return agg.select((penalty * F.col("mean")).alias("bleu"), penalty.alias("brevity_penalty"), "precisions", "ref_len", "hyp_len")
 
 
 def chrf(df: DataFrame, id_col: str, ref: str, hyp: str, max_order: int = 6, beta: float = 2.0) -> DataFrame:
