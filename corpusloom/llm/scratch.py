@@ -21,9 +21,11 @@ _SESSIONS: dict[str, SparkSession] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder; a temporary one of this machine only where the session names none (tests)."""
+    """The shared folder; a temporary one of this machine only where a local session names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
