@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
 from .textarrays import BYTE_VALUE, U64, Spans, Texts, constants, mix, text_groups
 
 #: Bytes that are part of a word: letters, digits, apostrophe and all beyond ASCII.
@@ -97,16 +98,20 @@ class Ftrl:
         return kept, every[kept].astype(np.float32), float(every[-1])
 
 
+def lift(ones: int, every: int) -> float:
+    """Weight of a toxic example: classes weigh alike in sum up to a factor of two."""
+    return min(2.0, max(1.0, (every - ones) / max(ones, 1)))
+
+
 def fit(examples: list[tuple[np.ndarray, int]], settings: Settings) -> Ftrl:
-    """Learn from (distinct slots, label) pairs in a fixed shuffled order; classes weigh alike in sum up to a factor of two."""
+    """Learn from (distinct slots, label) pairs that are in memory, in a fixed shuffled order."""
     model = Ftrl(settings)
-    ones = sum(y for _, y in examples)
-    lift = min(2.0, max(1.0, (len(examples) - ones) / max(ones, 1)))
+    weight = lift(sum(y for _, y in examples), len(examples))
     rng = np.random.default_rng(5)
     for _ in range(settings.epochs):
         for i in rng.permutation(len(examples)):
             slots, y = examples[i]
-            model.learn(slots, y, lift if y else 1.0)
+            model.learn(slots, y, weight if y else 1.0)
     return model
 
 
@@ -114,8 +119,11 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings, id_col: str, t
     """Weights learned from a bounded sample of labelled rows outside the held-out fold.
 
     The sample is the first ``settings.sample`` ids of each class by a hash of
-    the id; only their ids and labels reach the driver, and one task learns from
-    their texts.
+    the id; only their ids and labels reach the driver.  The slots of their whole
+    texts are written once.  In each epoch one task reads them in an order of its
+    own, sorted by Spark, which spills if need be, and learns batch by batch; it
+    returns the state of the optimiser (16 bytes a slot), from which the next
+    epoch goes on.  Its memory is that state and a batch, however long texts are.
     """
     spark = docs.sparkSession
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("y")).where(~held_out(F.col("id")))
@@ -127,22 +135,33 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings, id_col: str, t
 
     def slots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ys, found = batch.column("id").to_pylist(), batch.column("y").to_pylist(), []
             for group in text_groups(batch.column("text")):
                 slots, owner = features(group, settings.bits)
                 order = np.argsort(owner, kind="stable")
                 bounds = np.searchsorted(owner[order], np.arange(len(group) + 1))
-                found += [np.unique(slots[order[a:b]]).astype(np.int32).tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array(found, pa.binary())], names=["id", "y", "slots"])
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(b.column("id").to_pylist(), b.column("slots").to_pylist(), b.column("y").to_pylist())]
-        rows.sort(key=lambda r: (r[0], r[1]))
-        kept, w, bias = fit([(np.frombuffer(s, np.int32).astype(np.int64), y) for _, s, y in rows], settings).compact()
-        yield pa.RecordBatch.from_arrays([pa.array([kept.astype("<i4").tobytes()]), pa.array([w.astype("<f4").tobytes()]), pa.array([bias])], names=["kept", "w", "bias"])
-
-    r = texts.mapInArrow(slots_of, "id long, y int, slots binary").repartition(1).mapInArrow(learn, "kept binary, w binary, bias double").head()
-    return np.frombuffer(r.kept, "<i4").astype(np.int64), np.frombuffer(r.w, "<f4"), r.bias
+                found = [np.unique(slots[order[a:b]]).astype("<i4").tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(group.first, len(group)) for c in ("id", "y")), pa.array(found, pa.binary())], names=["id", "y", "slots"])
+
+    examples = scratch.written(texts.mapInArrow(slots_of, "id long, y int, slots binary"), "toxicity-examples")
+    every, ones = examples.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).head()
+    weight, state = lift(ones, every), None
+    for epoch in range(settings.epochs if every else 0):
+
+        def learn(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
+            model = Ftrl(settings)
+            if state is not None:
+                model.z, model.n = (np.frombuffer(raw, "<f8").copy() for raw in state)
+            for batch in batches:
+                for slots, y in zip(batch.column("slots"), batch.column("y").to_pylist()):
+                    model.learn(np.frombuffer(slots.as_buffer(), "<i4").astype(np.int64), y, weight if y else 1.0)
+            yield pa.RecordBatch.from_arrays([pa.array([a.astype("<f8").tobytes()]) for a in (model.z, model.n)], names=["z", "n"])
+
+        ordered = examples.coalesce(1).sortWithinPartitions(F.xxhash64("id", F.lit(epoch)), "id", "slots")
+        state = tuple(map(bytes, ordered.mapInArrow(learn, "z binary, n binary").head()))
+    model = Ftrl(settings)
+    if state is not None:
+        model.z, model.n = (np.frombuffer(raw, "<f8") for raw in state)
+    return model.compact()
 
 
 def held_out(id_column):

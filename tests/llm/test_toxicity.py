@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -58,3 +60,68 @@ def test_l1_gives_sparse_weights():
         examples.append((np.unique(np.append(rng.integers(10, 2000, 30), 3 if y else 11)), int(y)))
     kept, w, bias = tx.fit(examples, tx.Settings(bits=11)).compact()
     assert 3 in kept and len(kept) < 50 and w[list(kept).index(3)] > 1 > bias
+
+
+def plain_features(text):
+    """Words, pairs and skip-grams by plain loops, in groups of one kind."""
+    lower = (text or "").encode()
+    lower = bytes(b + 32 if 65 <= b <= 90 else b for b in lower)
+    words = re.findall(rb"[0-9a-z'\x80-\xff]+", lower)
+    return [[(k, a) if k == 0 else (k, a, words[i + k]) for i, a in enumerate(words) if i + k < len(words)] for k in range(4)]
+
+
+def plain_ftrl(examples, order, s):
+    """FTRL-proximal on dictionaries: z, n of each coordinate; the bias has no L1 term."""
+    z, n = {}, {}
+    ones = sum(y for _, y in examples.values())
+    lift = min(2.0, max(1.0, (len(examples) - ones) / max(ones, 1)))
+
+    def weight(c):
+        pull = 0.0 if c == "bias" else s.l1
+        if abs(z.get(c, 0.0)) <= pull:
+            return 0.0
+        return -(z[c] - math.copysign(pull, z[c])) / ((s.beta + math.sqrt(n.get(c, 0.0))) / s.alpha + s.l2)
+
+    for epoch in order:
+        for i in epoch:
+            found, y = examples[i]
+            at = [*found, "bias"]
+            w = {c: weight(c) for c in at}
+            g = (1 / (1 + math.exp(-sum(w.values()))) - y) * (lift if y else 1.0)
+            for c in at:
+                old = n.get(c, 0.0)
+                z[c] = z.get(c, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / s.alpha * w[c]
+                n[c] = old + g * g
+    return weight
+
+
+def test_scores_against_plain_ftrl(spark):
+    rows, labels = corpus(240)
+    rng = random.Random(4)
+    rows[7] = (7, " ".join(f"W{rng.randrange(300)}" for _ in range(20_000)) + " n\u00e4ive, don't", "")
+    rows[9] = (9, None, "")
+    settings = tx.Settings(bits=20, l1=2.0, epochs=3)
+
+    slot, names = {}, {}
+    for i, text, _ in rows:
+        kinds = plain_features(text)
+        names[i] = [f for kind in kinds for f in kind]
+        for group in text_groups(pa.array([text or ""])):
+            got, owner = tx.features(group, settings.bits)
+            assert len(got) == len(names[i]) and not owner.any()
+            for f, at in zip(names[i], got.tolist()):
+                assert slot.setdefault(f, at) == at
+    apart = len(slot) - len(set(slot.values()))
+    assert apart < 3 * len(slot) ** 2 / 2 ** (settings.bits + 1)  # different features meet only by chance
+
+    truth = {i: y for i, y, _ in labels}
+    learned = {i: ({slot[f] for f in names[i]}, truth[i]) for i, _, _ in rows if zlib.crc32(str(i).encode()) % 5}
+    ids = spark.createDataFrame([(i,) for i in learned], "id long")
+    order = [[r.id for r in ids.orderBy(tx.F.xxhash64("id", tx.F.lit(e)), "id").collect()] for e in range(settings.epochs)]
+    weight = plain_ftrl(learned, order, settings)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string").repartition(3)
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int, quality int")
+    got = {r.doc_id: r.score for r in tx.toxicity(docs, marks, settings).collect()}
+    want = {i: 1 / (1 + math.exp(-(sum(weight(c) for c in {slot[f] for f in names[i]}) + weight("bias")))) for i, _, _ in rows}
+    assert got.keys() == want.keys() and len({round(x, 3) for x in want.values()}) > 10
+    assert max(abs(got[i] - want[i]) for i in want) < 1e-4
