@@ -415,9 +415,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
             proposed = proposed.join(before.select("a", "b"), ["a", "b"], "left_anti")
         proposed = scratch.written(_placed(proposed.distinct(), first_doc), "ngram-proposed")
         tested.append(proposed)
-        close = scratch.written(refined(proposed, features, percent), "ngram-close")
-        scratch.free_shuffles(spark)
-        edges = scratch.written(verified(close, known_docs, percent), "ngram-edges")
+        with scratch.passing() as owner:  # texts and fine points of the pairs
+            close = scratch.written(refined(proposed, features, percent), "ngram-close")
+            scratch.free_shuffles(spark)
+            edges = verified(close, known_docs, percent)
+            with scratch.owned_by(owner):
+                edges = scratch.written(edges, "ngram-edges")
         scratch.free_shuffles(spark)
         return components(edges) if edges.head(1) else None
 

@@ -64,6 +64,15 @@ def owned_by(owner: str):
         _OWNER = before
 
 
+@contextlib.contextmanager
+def passing():
+    """Tables made inside are deleted at its end, by which all that reads them must have run; gives the owner outside."""
+    outer, owner = _OWNER, f"passing-{uuid.uuid4().hex}"
+    with owned_by(owner):
+        yield outer
+    release(owner)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
