@@ -8,28 +8,34 @@ the buckets whose axes it lies nearest to, about the square root of the number
 of vectors in each table, so it meets a share of all vectors that falls as they
 grow; these are ranked exactly, in double precision.  Equal vectors are hashed
 and compared once, whatever their number.
+
+Vectors are dealt into blocks, once each, and every query goes to all blocks; a
+task hashes its block into all tables.  A query's probes are not exchanged: they
+are the buckets of a cost up to its reach, one number for each table, and a task
+walks its own buckets, each against all queries that reach it.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import scratch
 from .textarrays import constants
 
-TABLES, NEAREST = 10, 20
+TABLES, NEAREST = 16, 20
 #: Vectors of a bucket, about, and probes of a table for each square root of the vectors.
-BUCKET, PROBE_RATE = 8, 0.7
-#: Vectors of a group of buckets that meet in one task; larger groups are dealt into blocks of candidates and of queries.
-CANDIDATE_BLOCK, QUERY_BLOCK = 20_000, 2_000
-#: Pairs that are scored at once, and vectors whose probes are sought at once (in costs).
-PAIRS, COSTS = 1 << 16, 1 << 22
+BUCKET, PROBE_RATE = 256, 0.04
+#: Vectors of a block, at most about and where cores wait for more blocks at least, and queries that a block answers at once.
+CANDIDATE_BLOCK, LEAST_BLOCK, QUERY_BLOCK = 1_000_000, 5_000, 65_536
+#: Pairs that are scored at once, hits that are held before the best are chosen, and vectors that are turned at once.
+PAIRS, HELD, TURNED = 1 << 18, 1 << 21, 1 << 14
 HIT = np.dtype([("vector", "<i8"), ("score", "<f8"), ("first", "<i8")])
 
 
@@ -55,18 +61,34 @@ def polytopes(vectors: int, dim: int, bucket: int = BUCKET) -> list[int]:
 
 
 def probes_of(vectors: int, rate: float = PROBE_RATE) -> int:
-    return max(16, math.ceil(rate * math.sqrt(vectors)))
+    return max(3, math.ceil(rate * math.sqrt(vectors)))
 
 
-def turned(vectors: np.ndarray, polytope: int, axes: int) -> np.ndarray:
-    """[len(vectors), 2 * axes] coordinates along the signed axes of a pseudo-rotation."""
-    width = 1 << max(1, (vectors.shape[1] - 1).bit_length())
-    x = np.zeros((len(vectors), width))
-    x[:, : vectors.shape[1]] = vectors
+def _turn(x: np.ndarray, polytope: int) -> np.ndarray:
+    width = x.shape[1]
     for turn in range(3):
         signs = 1.0 - 2.0 * (constants(width, 1000 * polytope + turn + 1) >> np.uint64(63)).astype(float)
         x = hadamard(x * signs) / np.sqrt(width)
-    return np.concatenate([x[:, :axes], -x[:, :axes]], axis=1)
+    return x
+
+
+@functools.lru_cache(maxsize=256)
+def _rotation(width: int, polytope: int) -> np.ndarray:
+    """What the transforms do to each unit vector: of short vectors, one product with it is faster than they are."""
+    return _turn(np.eye(width), polytope)
+
+
+def turned(vectors: np.ndarray, polytope: int, axes: int) -> np.ndarray:
+    """[len(vectors), 2 * axes] coordinates along the signed axes of a pseudo-rotation."""
+    dim = vectors.shape[1]
+    width = 1 << max(1, (dim - 1).bit_length())
+    if width <= 128:
+        x = vectors @ _rotation(width, polytope)[:dim, :axes]
+    else:
+        x = np.zeros((len(vectors), width))
+        x[:, :dim] = vectors
+        x = _turn(x, polytope)[:, :axes]
+    return np.concatenate([x, -x], axis=1)
 
 
 def codes(vectors: np.ndarray, table: int, axes: list[int]) -> np.ndarray:
@@ -77,18 +99,32 @@ def codes(vectors: np.ndarray, table: int, axes: list[int]) -> np.ndarray:
     return code
 
 
-def probed(vectors: np.ndarray, table: int, axes: list[int], most: int) -> np.ndarray:
-    """[len(vectors), up to most] the buckets that lie nearest: those of least summed squared distance of axes to the nearest."""
+def axis_costs(vectors: np.ndarray, table: int, axes: list[int]) -> list[np.ndarray]:
+    """For each polytope, [len(vectors), signed axes]: how much farther an axis lies than the nearest, squared."""
+    turns = (turned(vectors, 100 * table + k, a) for k, a in enumerate(axes))
+    return [(x.max(1, keepdims=True) - x) ** 2 for x in turns]
+
+
+def least_costs(vectors: np.ndarray, table: int, axes: list[int], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """[len(vectors), up to most] the buckets of least summed costs of their axes, and these sums."""
     code, cost = np.zeros((len(vectors), 1), np.int64), np.zeros((len(vectors), 1))
-    for k, a in enumerate(axes):
-        x = turned(vectors, 100 * table + k, a)
-        more = (x.max(1, keepdims=True) - x) ** 2
+    for a, more in zip(axes, axis_costs(vectors, table, axes)):
         code = (code[:, :, None] * (2 * a) + np.arange(2 * a)).reshape(len(vectors), -1)
         cost = (cost[:, :, None] + more[:, None, :]).reshape(len(vectors), -1)
         if cost.shape[1] > most:
             least = np.argpartition(cost, most - 1, axis=1)[:, :most]
             code, cost = np.take_along_axis(code, least, 1), np.take_along_axis(cost, least, 1)
-    return code
+    return code, cost
+
+
+def probed(vectors: np.ndarray, table: int, axes: list[int], most: int) -> np.ndarray:
+    """[len(vectors), up to most] the buckets that lie nearest."""
+    return least_costs(vectors, table, axes, most)[0]
+
+
+def reach(vectors: np.ndarray, table: int, axes: list[int], most: int) -> np.ndarray:
+    """[len(vectors)] the cost of the farthest bucket that is probed, and a little for other roundings."""
+    return least_costs(vectors, table, axes, most)[1].max(1) * (1 + 1e-5) + 1e-9
 
 
 def distinct_vectors(rows: DataFrame, nearest: int, query_every: int) -> DataFrame:
@@ -119,48 +155,38 @@ def distinct_vectors(rows: DataFrame, nearest: int, query_every: int) -> DataFra
 
 
 def _as_matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy().reshape(-1, dim).astype(np.float64)
+    return column.flatten().to_numpy().reshape(-1, dim)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    most = np.abs(x).max(1, keepdims=True)
+    x = x / most
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _kind(df: DataFrame) -> str:
-    """Vectors travel as they are stored, and are doubles where they are computed with."""
+    """Vectors travel as they are stored, and are doubles where they are hashed and ranked."""
     return df.schema["embedding"].dataType.simpleString()
 
 
-def hashed(vectors: DataFrame, tables: int, axes_of: dict[int, list[int]], probes: int) -> DataFrame:
-    """A row for each table of a vector as a candidate, and for each group of buckets that a queried vector probes.
-
-    A group (lead) has the buckets that differ in the last polytope only; leaves are the axes in it.
-    """
+def with_reach(queries: DataFrame, tables: int, axes_of: dict[int, list[int]], probes_of: dict[int, int]) -> DataFrame:
+    """``queries`` (vector, dim, first, embedding) with the reach of each in every table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(part: pa.RecordBatch, row: np.ndarray, table: int, lead: np.ndarray, leaves: list[bytes], query: bool) -> pa.RecordBatch:
-            out = part.take(pa.array(row))
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(row), table, np.int32)), pa.array(lead), out.column("dim"), pa.array(np.full(len(row), query)), out.column("vector"), out.column("first"), pa.array(leaves, pa.binary()), out.column("embedding")], names=["tab", "lead", "dim", "query", "vector", "first", "leaves", "embedding"])
-
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims).tolist():
-                part, axes = batch.filter(pa.array(dims == dim)), axes_of[dim]
-                x = _as_matrix(part.column("embedding"), dim)
-                x = x / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(1, keepdims=True)
-                asked = np.flatnonzero(part.column("queried").to_numpy(zero_copy_only=False))
-                last = 2 * axes[-1]
-                step = max(1, COSTS // (probes * 2 * max(axes)))
-                for t in range(tables):
-                    lead, leaf = np.divmod(codes(x, t, axes), last)
-                    raw = leaf.astype("<u2").tobytes()
-                    yield rows(part, np.arange(len(x)), t, lead, [raw[2 * i : 2 * i + 2] for i in range(len(x))], False)
-                    for low in range(0, len(asked), step):
-                        mine = asked[low : low + step]
-                        code = np.sort(probed(x[mine], t, axes, probes), axis=1)
-                        lead, leaf = np.divmod(code.ravel(), last)
-                        row = np.repeat(mine, code.shape[1])
-                        cut = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (lead[1:] != lead[:-1])])
-                        raw, ends = leaf.astype("<u2").tobytes(), np.r_[cut[1:], len(row)]
-                        yield rows(part, row[cut], t, lead[cut], [raw[2 * a : 2 * b] for a, b in zip(cut.tolist(), ends.tolist())], True)
-
-    return vectors.select("vector", "dim", "queried", F.element_at("ids", 1).alias("first"), "embedding").mapInArrow(run, f"tab int, lead long, dim int, query boolean, vector long, first long, leaves binary, embedding {_kind(vectors)}")
+                whole, axes, most = batch.filter(pa.array(dims == dim)), axes_of[dim], probes_of[dim]
+                step = max(1, (1 << 22) // (most * 2 * max(axes)))
+                for low in range(0, whole.num_rows, step):
+                    part = whole.slice(low, step)
+                    x = _unit(_as_matrix(part.column("embedding"), dim))
+                    far = np.stack([reach(x, t, axes, most) for t in range(tables)], axis=1).astype(np.float32)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * tables), pa.array(far.ravel()))
+                    yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, "reach"])
+
+    return queries.mapInArrow(run, f"vector long, dim int, first long, embedding {_kind(queries)}, reach array<float>")
 
 
 def best(hits: np.ndarray, keep: int) -> np.ndarray:
@@ -169,80 +195,175 @@ def best(hits: np.ndarray, keep: int) -> np.ndarray:
     return hits[np.lexsort((hits["first"], -hits["score"]))[:keep]]
 
 
-def best_of_each(hits: np.ndarray, of: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``keep`` best hits of each query ``of``, in its order."""
-    order = np.lexsort((hits["first"], -hits["score"], of))
-    of = of[order]
-    begin = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-    rank = np.arange(len(of)) - np.repeat(begin, np.diff(np.r_[begin, len(of)]))
-    return hits[order[rank < keep]], of[rank < keep]
-
-
-class Asked:
-    """The queries of one group of buckets, and the best that they have met."""
-
-    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, list[bytes]]], keep: int):
-        self.vectors, self.matrix, self.keep = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), keep
-        lists = [np.frombuffer(b, "<u2") for p in parts for b in p[2]]
-        leaf, query = np.concatenate(lists).astype(np.int64), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        # Queries by leaf.
-        self.query = query[np.argsort(leaf, kind="stable")]
-        self.begin = np.concatenate([[0], np.cumsum(np.bincount(leaf, minlength=1 << 16))])
-        self.hits, self.of = np.zeros(0, HIT), np.zeros(0, np.int64)
-
-    def meet(self, vectors: np.ndarray, first: np.ndarray, x: np.ndarray, leaf: np.ndarray) -> None:
-        many = self.begin[leaf + 1] - self.begin[leaf]
-        cost = np.cumsum(many)
-        for part in np.split(np.arange(len(leaf)), np.flatnonzero(np.diff(cost // PAIRS)) + 1):
-            m = many[part]
-            if not m.sum():
-                continue
-            candidate = np.repeat(part, m)
-            query = self.query[np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(self.begin[leaf[part]], m)]
-            hits = np.empty(len(query), HIT)
-            hits["vector"], hits["first"] = vectors[candidate], first[candidate]
-            hits["score"] = np.einsum("ij,ij->i", self.matrix[query], x[candidate])
-            self.hits, self.of = best_of_each(np.concatenate([self.hits, hits]), np.concatenate([self.of, query]), self.keep)
-
-    def rows(self) -> pa.RecordBatch:
-        cut = np.flatnonzero(np.r_[True, self.of[1:] != self.of[:-1]]) if len(self.of) else np.zeros(0, np.int64)
-        ends = np.r_[cut[1:], len(self.of)] if len(cut) else cut
-        return pa.RecordBatch.from_arrays([pa.array(self.vectors[self.of[cut]]), pa.array([self.hits[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary())], names=["vector", "hits"])
-
-
-def ranked_buckets(placed: DataFrame, keep: int) -> DataFrame:
-    """vector, hits: for each queried vector the ``keep`` best distinct vectors of the buckets that it probes in each group."""
-    counts = placed.groupBy("tab", "lead", "dim").agg(F.count_if(~F.col("query")).alias("c"), F.count_if("query").alias("q")).where("q > 0 and c > 0")
-    blocks = counts.select("tab", "lead", "dim", F.ceil(F.col("c") / CANDIDATE_BLOCK).cast("int").alias("cs"), F.ceil(F.col("q") / QUERY_BLOCK).cast("int").alias("qs"))
-    own = F.when(F.col("query"), F.pmod(F.xxhash64("vector"), F.col("qs"))).otherwise(F.pmod(F.xxhash64("vector"), F.col("cs"))).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.when(F.col("query"), F.col("cs")).otherwise(F.col("qs")) - 1))
-    dealt = placed.join(blocks, ["tab", "lead", "dim"]).withColumn("own", own).withColumn("other", other)
-    dealt = dealt.select("tab", "lead", "dim", F.when(F.col("query"), F.col("own")).otherwise(F.col("other")).alias("qb"), F.when(F.col("query"), F.col("other")).otherwise(F.col("own")).alias("cb"), (~F.col("query")).alias("candidate"), "vector", "first", "leaves", "embedding")
+class Block:
+    """Some of the vectors, hashed into all tables (none: every query meets them all)."""
+
+    def __init__(self, vectors: np.ndarray, first: np.ndarray, x: np.ndarray, axes: list[int], tables: int, keep: int):
+        self.vectors, self.first, self.x, self.axes, self.keep = vectors, first, x, axes, keep
+        norms = np.concatenate([np.linalg.norm(x[a : a + TURNED].astype(np.float64), axis=1) for a in range(0, len(x), TURNED)])
+        self.norm, self.plain = norms.max(), x.dtype == np.float32 and 1e-10 < norms.min() and norms.max() < 1e10
+        code = np.empty((tables, len(x)), np.int64)
+        for low in range(0, len(x), TURNED):
+            unit = _unit(x[low : low + TURNED])
+            for t in range(tables):
+                code[t, low : low + TURNED] = codes(unit, t, axes)
+        self.order = np.empty((tables, len(x)), np.int32)
+        for t in range(tables):
+            self.order[t] = np.argsort(code[t], kind="stable")
+            code[t] = code[t, self.order[t]]
+        self.code = code
+
+    def buckets(self, table: int, costs: list[np.ndarray], query: np.ndarray, left: np.ndarray, lead: int = 0, k: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The queries that reach a bucket, and its vectors, for each bucket below ``lead`` that has both; ``left`` is what remains of their reach."""
+        n = 2 * self.axes[k]
+        below = math.prod(2 * a for a in self.axes[k + 1 :])
+        cut = np.searchsorted(self.code[table], (lead * n + np.arange(n + 1)) * below)
+        more = costs[k][:, query]
+        for a in np.flatnonzero(np.diff(cut)).tolist():
+            near = np.flatnonzero(more[a] <= left)
+            if len(near) and below > 1:
+                yield from self.buckets(table, costs, query[near], left[near] - more[a][near], lead * n + a, k + 1)
+            elif len(near):
+                yield query[near], self.order[table, cut[a] : cut[a + 1]]
+
+    def met(self, q: np.ndarray, far: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        everyone = np.arange(len(q))
+        if not len(self.code):
+            yield everyone, np.arange(len(self.x), dtype=np.int32)
+        for t in range(len(self.code)):
+            costs: list[list[np.ndarray]] = []
+            for low in range(0, len(q), TURNED):
+                costs.append([c.T.astype(np.float32) for c in axis_costs(_unit(q[low : low + TURNED]), t, self.axes)])
+            yield from self.buckets(t, [np.concatenate(c, axis=1) for c in zip(*costs)], everyone, far[:, t])
+
+    def answer(self, vectors: np.ndarray, q: np.ndarray, far: np.ndarray) -> pa.RecordBatch:
+        """vector, hits: the ``keep`` best of each query's buckets.
+
+        Pairs are sifted by products of whole buckets, with a margin for their
+        roundings; what may be among the best is scored in double precision.
+        """
+        norms = np.linalg.norm(q.astype(np.float64), axis=1)
+        kind = np.float32 if self.plain and q.dtype == np.float32 and 1e-10 < norms.min() and norms.max() < 1e10 else np.float64
+        margin = 2 * (q.shape[1] + 2) * float(np.finfo(kind).eps) * norms * self.norm
+        sifted, least = q.astype(kind), np.full(len(q), -np.inf, kind)
+        of, row, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        new: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+
+        def choose() -> None:
+            nonlocal of, row, score, held
+            key = np.concatenate([of << 32 | row, *(a.astype(np.int64) << 32 | b for a, b in new)])
+            key, at = np.unique(key, return_index=True)  # of equal pairs the first, which is scored if any is
+            known = at < len(of)
+            of_all, row_all, s = key >> 32, key & 0xFFFFFFFF, np.empty(len(key))
+            s[known] = score[at[known]]
+            fresh = np.flatnonzero(~known)
+            for a in range(0, len(fresh), PAIRS):
+                f = fresh[a : a + PAIRS]
+                s[f] = np.einsum("ij,ij->i", q[of_all[f]].astype(np.float64), self.x[row_all[f]].astype(np.float64))
+            order = np.lexsort((self.first[row_all], -s, of_all))
+            of, row, score = of_all[order], row_all[order], s[order]
+            begin = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
+            rank = np.arange(len(of)) - np.repeat(begin, np.diff(np.r_[begin, len(of)]))
+            last = rank == self.keep - 1
+            with np.errstate(all="ignore"):
+                bound = score[last] - margin[of[last]]
+            least[of[last]] = np.where(np.isfinite(bound), bound, -np.inf)
+            of, row, score = of[rank < self.keep], row[rank < self.keep], score[rank < self.keep]
+            new.clear()
+            held = 0
+
+        for query, rows in self.met(q, far):
+            wide = min(len(rows), 4096)
+            tall = max(1, PAIRS // wide)
+            for a in range(0, len(rows), wide):
+                x = self.x[rows[a : a + wide]].astype(kind).T
+                for b in range(0, len(query), tall):
+                    some = query[b : b + tall]
+                    with np.errstate(all="ignore"):
+                        i, j = np.nonzero(~(sifted[some] @ x < least[some][:, None]))
+                    if len(i):
+                        new.append((some[i], rows[a + j]))
+                        held += len(i)
+                    if held > HELD:
+                        choose()
+        choose()
+        hits = np.empty(len(of), HIT)
+        hits["vector"], hits["score"], hits["first"] = self.vectors[row], score, self.first[row]
+        cut = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
+        raw, ends = hits.tobytes(), np.r_[cut[1:], len(of)] if len(cut) else cut
+        return pa.RecordBatch.from_arrays([pa.array(vectors[of[cut]]), pa.array([raw[a * HIT.itemsize : b * HIT.itemsize] for a, b in zip(cut.tolist(), ends.tolist())], pa.binary())], names=["vector", "hits"])
+
+
+class Rows:
+    """Rows of a group as they arrive, in arrays that grow."""
+
+    def __init__(self):
+        self.n, self.held = 0, None
+
+    def add(self, *columns: np.ndarray) -> None:
+        n = len(columns[0])
+        if self.held is None or self.n + n > len(self.held[0]):
+            room = max(4096, (self.n + n) * 5 // 4)
+            old, self.held = self.held, [np.empty((room, *c.shape[1:]), c.dtype) for c in columns]
+            for new, before in zip(self.held, old or []):
+                new[: self.n] = before[: self.n]
+        for mine, c in zip(self.held, columns):
+            mine[self.n : self.n + n] = c
+        self.n += n
+
+    def all(self) -> list[np.ndarray]:
+        return [c[: self.n] for c in self.held]
+
+
+def slots(spark: SparkSession, blocks: int) -> list[int]:
+    """A number for each block; Spark's hash deals them into as many partitions, one each where it can."""
+    place = F.pmod(F.hash("id"), F.lit(blocks))
+    found = [r.id for r in spark.range(16 * blocks + 64).groupBy(place).agg(F.min("id").alias("id")).collect()]  # one row for each block
+    return found + [-1 - k for k in range(blocks - len(found))]
+
+
+def ranked_blocks(candidates: DataFrame, queries: DataFrame, total: int, axes_of: dict[int, list[int]], tables: int, keep: int) -> DataFrame:
+    """vector, hits: for each query (with its reach) the ``keep`` best distinct vectors of each block that it meets."""
+    spark = candidates.sparkSession
+    blocks = max(1, math.ceil(total / CANDIDATE_BLOCK), min(spark.sparkContext.defaultParallelism, math.ceil(total / LEAST_BLOCK)))
+    numbers = F.split(F.lit(",".join(map(str, slots(spark, blocks)))), ",").cast("array<long>")
+    one = candidates.select(F.get(numbers, F.pmod(F.xxhash64("vector", F.lit("block")), F.lit(blocks)).cast("int")).alias("slot"), "dim", F.lit(False).alias("query"), "vector", "first", "embedding", F.lit(None).cast("array<float>").alias("reach"))
+    dealt = one.unionByName(queries.select(F.explode(numbers).alias("slot"), "dim", F.lit(True).alias("query"), "vector", "first", "embedding", "reach"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, parts, asked = None, [], None
+        group, mine, asked, block = None, Rows(), Rows(), None
+
+        def answers() -> Iterator[pa.RecordBatch]:
+            nonlocal block, mine, asked
+            if mine.n and asked.n:
+                block = block or Block(*mine.all(), axes_of[group[1]], tables, keep)
+                vectors, q, far = asked.all()
+                for low in range(0, asked.n, QUERY_BLOCK):
+                    yield block.answer(vectors[low : low + QUERY_BLOCK], q[low : low + QUERY_BLOCK], far[low : low + QUERY_BLOCK])
+            asked = Rows()
+
         for batch in batches:
-            keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("tab", "lead", "dim", "qb", "cb", "candidate")]
+            keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("slot", "dim", "query")]
             cut = np.flatnonzero(np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys]), True]) if batch.num_rows else []
             for a, b in zip(cut[:-1], cut[1:]):
-                here = tuple(int(k[a]) for k in keys[:5])
+                here = tuple(int(k[a]) for k in keys[:2])
                 if here != group:
-                    if asked is not None:
-                        yield asked.rows()
-                    group, parts, asked = here, [], None
+                    if group:
+                        yield from answers()
+                    group, mine, asked, block = here, Rows(), Rows(), None
                 part = batch.slice(a, b - a)
-                vectors, x, leaves = part.column("vector").to_numpy(), _as_matrix(part.column("embedding"), here[2]), part.column("leaves").to_pylist()
-                if not keys[5][a]:
-                    parts.append((vectors, x, leaves))
-                elif parts:
-                    asked = asked or Asked(parts, keep)
-                    asked.meet(vectors, part.column("first").to_numpy(), x, np.frombuffer(b"".join(leaves), "<u2").astype(np.int64))
-        if asked is not None:
-            yield asked.rows()
+                vectors, x = part.column("vector").to_numpy(), _as_matrix(part.column("embedding"), here[1])
+                if not keys[2][a]:
+                    mine.add(vectors, part.column("first").to_numpy(), x)
+                elif mine.n:
+                    asked.add(vectors, x, part.column("reach").flatten().to_numpy().reshape(len(x), -1))
+                    if asked.n >= QUERY_BLOCK:
+                        yield from answers()
+        if group:
+            yield from answers()
 
-    n = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["tab", "lead", "dim", "qb", "cb"]
-    return dealt.repartition(n, *keys).sortWithinPartitions(*keys, "candidate").mapInArrow(run, "vector long, hits binary")
+    return dealt.repartition(blocks, "slot").sortWithinPartitions("slot", "dim", "query").mapInArrow(run, "vector long, hits binary")
 
 
 def merged_hits(hits: DataFrame, keep: int) -> DataFrame:
@@ -300,19 +421,24 @@ def nearest_neighbours(table: DataFrame, query_every: int = 20, nearest: int = N
             break
         seed += 1  # two vectors shared a fingerprint
     rows, vectors = named, vectors.drop("proof")
-    total = vectors.count()
-    axes_of = {r.dim: polytopes(total, r.dim) for r in vectors.select("dim").distinct().collect()}  # one row for each length of vectors
-    found = scratch.written(merged_hits(ranked_buckets(hashed(vectors, tables, axes_of, probes or probes_of(total)), keep), keep), "ann-found")
+    scratch.free_shuffles(spark)
+    sizes = {r.dim: r["count"] for r in vectors.groupBy("dim").count().collect()}  # one row for each length of vectors
+    total, axes_of = sum(sizes.values()), {dim: polytopes(n, dim) for dim, n in sizes.items()}
+    flat = vectors.select("vector", "dim", F.element_at("ids", 1).alias("first"), "embedding", "queried")
+    asked = with_reach(flat.where("queried").drop("queried"), tables, axes_of, {dim: probes or probes_of(n) for dim, n in sizes.items()})
+    found = scratch.written(merged_hits(ranked_blocks(flat, asked, total, axes_of, tables, keep), keep), "ann-found")
+    scratch.free_shuffles(spark)
 
     per_query = found.groupBy("vector").agg(F.count("*").alias("found"))
-    short = scratch.written(vectors.where("queried").join(per_query.where(F.col("found") >= keep), "vector", "left_anti").select("vector", "dim", "embedding", F.element_at("ids", 1).alias("first")), "ann-short")
+    short = scratch.written(flat.where("queried").drop("queried").join(per_query.where(F.col("found") >= keep), "vector", "left_anti"), "ann-short")
     if short.head(1):
-        one = lambda df, query: df.select(F.lit(0).alias("tab"), F.lit(0).cast("long").alias("lead"), "dim", F.lit(query).alias("query"), "vector", "first", F.lit(bytes(2)).alias("leaves"), "embedding")
-        every = one(vectors.withColumn("first", F.element_at("ids", 1)), False).unionByName(one(short, True))
-        again = merged_hits(ranked_buckets(every, keep), keep)
+        again = merged_hits(ranked_blocks(flat, short.withColumn("reach", F.array(F.lit(0.0).cast("float"))), total, axes_of, 0, keep), keep)
         found = scratch.written(found.join(short, "vector", "left_anti").unionByName(again), "ann-all")
 
+    # What a vector is nearest to, by rows: at most keep * keep; its queries, however many, each leave themselves out.
+    hits = found.join(vectors.select(F.col("vector").alias("other"), "ids"), "other").select("vector", "score", F.explode("ids").alias("vec_id"))
+    near = scratch.written(hits.groupBy("vector").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))).alias("near")), "ann-near")
+    scratch.free_shuffles(spark)
     queries = rows.where(F.col("vec_id") % query_every == 0).select(F.col("vec_id").alias("query_id"), "vector").distinct()
-    hits = found.join(vectors.select(F.col("vector").alias("other"), "ids"), "other").join(queries, "vector").select("query_id", "vector", "score", F.explode("ids").alias("vec_id")).where("vec_id != query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id", "vector").orderBy(F.desc("score"), "vec_id"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
+    others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, nearest)
+    return queries.join(near, "vector").select("query_id", F.posexplode(others).alias("k", "x")).select("query_id", (F.col("k") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.far")).alias("score"))

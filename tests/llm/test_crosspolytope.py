@@ -50,6 +50,30 @@ def test_copies_ties_and_bad_vectors(spark, monkeypatch):
     assert cp.nearest_neighbours(frame(spark, [])).count() == 0
 
 
+def test_vectors_are_exchanged_a_few_times_only(spark):
+    """All that is shuffled stays within four times the vectors: neither tables nor probes carry copies of them."""
+    x = np.random.default_rng(2).normal(size=(4000, 64)).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, score int")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    shuffled = lambda: sum(store.executorList(False).apply(i).totalShuffleWrite() for i in range(store.executorList(False).size()))
+    before = shuffled()
+    assert cp.nearest_neighbours(table).count() == 200 * 20
+    assert 0 < shuffled() - before < 4 * x.nbytes
+
+
+def test_copies_in_blocks(spark, monkeypatch):
+    """Vectors in many blocks, queries in many batches, best hits chosen again and again: as brute force, when all is probed."""
+    for name, value in (("LEAST_BLOCK", 40), ("QUERY_BLOCK", 7), ("PAIRS", 50), ("HELD", 100)):
+        monkeypatch.setattr(cp, name, value)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(c) for c in rng.integers(-2, 3, 3 + i % 2)]) for i in range(300)]
+    got = {}
+    for r in cp.nearest_neighbours(frame(spark, rows), query_every=5, nearest=6, probes=10**6).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    want = brute_force(rows, 5, 6)
+    assert {q: sorted(v) for q, v in got.items()} == {q: [(k + 1, j, s) for k, (j, s) in enumerate(v)] for q, v in want.items() if v}
+
+
 def test_hadamard_and_axes():
     x = np.eye(8)
     h = cp.hadamard(x)
