@@ -33,8 +33,10 @@ TABLES, NEAREST = 16, 20
 #: Vectors of a bucket, about, and probes of a table for each square root of the vectors.
 BUCKET, PROBE_RATE = 256, 0.04
 #: Vectors of a block, at most about and where cores wait for more blocks at least, and queries that a block answers at once.
-CANDIDATE_BLOCK, LEAST_BLOCK, QUERY_BLOCK = 1_000_000, 5_000, 65_536
-#: Pairs that are scored at once, hits that are held before the best are chosen, and vectors that are turned at once.
+CANDIDATE_BLOCK, LEAST_BLOCK, QUERY_BLOCK = 350_000, 5_000, 65_536
+#: Blocks that are answered in one pass, or as many as there are cores: what a pass exchanges is deleted after it.
+PASS = 12
+#: Pairs that are sifted at once, hits that are held before the best are chosen, and vectors that are turned or ranked at once.
 PAIRS, HELD, TURNED = 1 << 18, 1 << 21, 1 << 14
 HIT = np.dtype([("vector", "<i8"), ("score", "<f8"), ("first", "<i8")])
 
@@ -202,7 +204,7 @@ class Block:
         self.vectors, self.first, self.x, self.axes, self.keep = vectors, first, x, axes, keep
         norms = np.concatenate([np.linalg.norm(x[a : a + TURNED].astype(np.float64), axis=1) for a in range(0, len(x), TURNED)])
         self.norm, self.plain = norms.max(), x.dtype == np.float32 and 1e-10 < norms.min() and norms.max() < 1e10
-        code = np.empty((tables, len(x)), np.int64)
+        code = np.empty((tables, len(x)), np.int32 if math.prod(2 * a for a in axes) < 1 << 31 else np.int64)
         for low in range(0, len(x), TURNED):
             unit = _unit(x[low : low + TURNED])
             for t in range(tables):
@@ -241,6 +243,7 @@ class Block:
 
         Pairs are sifted by products of whole buckets, with a margin for their
         roundings; what may be among the best is scored in double precision.
+        At most 65,536 queries; the block's vectors lie in the order of first.
         """
         norms = np.linalg.norm(q.astype(np.float64), axis=1)
         kind = np.float32 if self.plain and q.dtype == np.float32 and 1e-10 < norms.min() and norms.max() < 1e10 else np.float64
@@ -258,10 +261,11 @@ class Block:
             of_all, row_all, s = key >> 32, key & 0xFFFFFFFF, np.empty(len(key))
             s[known] = score[at[known]]
             fresh = np.flatnonzero(~known)
-            for a in range(0, len(fresh), PAIRS):
-                f = fresh[a : a + PAIRS]
+            for a in range(0, len(fresh), TURNED):
+                f = fresh[a : a + TURNED]
                 s[f] = np.einsum("ij,ij->i", q[of_all[f]].astype(np.float64), self.x[row_all[f]].astype(np.float64))
-            order = np.lexsort((self.first[row_all], -s, of_all))
+            order = np.argsort(-s, kind="stable")
+            order = order[np.argsort(of_all[order].astype(np.uint16), kind="stable")]  # 16 bits: a radix sort
             of, row, score = of_all[order], row_all[order], s[order]
             begin = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
             rank = np.arange(len(of)) - np.repeat(begin, np.diff(np.r_[begin, len(of)]))
@@ -277,7 +281,7 @@ class Block:
             wide = min(len(rows), 4096)
             tall = max(1, PAIRS // wide)
             for a in range(0, len(rows), wide):
-                x = self.x[rows[a : a + wide]].astype(kind).T
+                x = self.x[rows[a : a + wide]].astype(kind, copy=False).T
                 for b in range(0, len(query), tall):
                     some = query[b : b + tall]
                     with np.errstate(all="ignore"):
@@ -323,12 +327,11 @@ def slots(spark: SparkSession, blocks: int) -> list[int]:
     return found + [-1 - k for k in range(blocks - len(found))]
 
 
-def ranked_blocks(candidates: DataFrame, queries: DataFrame, total: int, axes_of: dict[int, list[int]], tables: int, keep: int) -> DataFrame:
-    """vector, hits: for each query (with its reach) the ``keep`` best distinct vectors of each block that it meets."""
-    spark = candidates.sparkSession
-    blocks = max(1, math.ceil(total / CANDIDATE_BLOCK), min(spark.sparkContext.defaultParallelism, math.ceil(total / LEAST_BLOCK)))
-    numbers = F.split(F.lit(",".join(map(str, slots(spark, blocks)))), ",").cast("array<long>")
-    one = candidates.select(F.get(numbers, F.pmod(F.xxhash64("vector", F.lit("block")), F.lit(blocks)).cast("int")).alias("slot"), "dim", F.lit(False).alias("query"), "vector", "first", "embedding", F.lit(None).cast("array<float>").alias("reach"))
+def ranked_blocks(candidates: DataFrame, queries: DataFrame, blocks: int, these: range, axes_of: dict[int, list[int]], tables: int, keep: int) -> DataFrame:
+    """vector, hits: for each query (with its reach) the ``keep`` best distinct vectors of each of ``these`` of all blocks."""
+    numbers = F.split(F.lit(",".join(map(str, slots(candidates.sparkSession, len(these))))), ",").cast("array<long>")
+    block = F.pmod(F.xxhash64("vector", F.lit("block")), F.lit(blocks)).cast("int")
+    one = candidates.where(block.between(these.start, these.stop - 1)).select(F.get(numbers, block - these.start).alias("slot"), "dim", F.lit(False).alias("query"), "vector", "first", "embedding", F.lit(None).cast("array<float>").alias("reach"))
     dealt = one.unionByName(queries.select(F.explode(numbers).alias("slot"), "dim", F.lit(True).alias("query"), "vector", "first", "embedding", "reach"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,32 +366,56 @@ def ranked_blocks(candidates: DataFrame, queries: DataFrame, total: int, axes_of
         if group:
             yield from answers()
 
-    return dealt.repartition(blocks, "slot").sortWithinPartitions("slot", "dim", "query").mapInArrow(run, "vector long, hits binary")
+    return dealt.repartition(len(these), "slot").sortWithinPartitions("slot", "dim", "query", "first").mapInArrow(run, "vector long, hits binary")
 
 
 def merged_hits(hits: DataFrame, keep: int) -> DataFrame:
-    """vector, other, score: the ``keep`` best distinct vectors of each queried vector over all its buckets."""
+    """vector, hits: the ``keep`` best distinct vectors of each query over all its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
 
         def rows() -> list[tuple]:
-            return [(at, int(h["vector"]), float(h["score"])) for h in best(np.concatenate(held), keep)] if held else []
+            return [(at, best(np.concatenate(held), keep).tobytes())] if held else []
+
+        def out(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([v for v, _ in found], pa.int64()), pa.array([h for _, h in found], pa.binary())], names=["vector", "hits"])
 
         for batch in batches:
-            out: list[tuple] = []
+            found: list[tuple] = []
             for v, h in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if v != at:
-                    out += rows()
+                    found += rows()
                     at, held = v, []
                 held.append(np.frombuffer(h.as_buffer(), HIT))
                 if len(held) > 64:
                     held = [best(np.concatenate(held), keep)]
-            yield _scores(out)
-        yield _scores(rows())
+            yield out(found)
+        yield out(rows())
 
     n = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return hits.repartition(n, "vector").sortWithinPartitions("vector").mapInArrow(run, "vector long, other long, score double")
+    return hits.repartition(n, "vector").sortWithinPartitions("vector").mapInArrow(run, "vector long, hits binary")
+
+
+def answered(candidates: DataFrame, queries: DataFrame, total: int, axes_of: dict[int, list[int]], tables: int, keep: int) -> DataFrame:
+    """vector, other, score: the ``keep`` best distinct vectors of each query, block after block in passes."""
+    spark = candidates.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    blocks = max(1, math.ceil(total / CANDIDATE_BLOCK), min(cores, math.ceil(total / LEAST_BLOCK)))
+    found, step = None, max(PASS, cores)
+    for low in range(0, blocks, step):
+        new = ranked_blocks(candidates, queries, blocks, range(low, min(blocks, low + step)), axes_of, tables, keep)
+        before, found = found, scratch.written(merged_hits(new.unionByName(found) if found is not None else new, keep), "ann-hits")
+        if before is not None and (files := before.inputFiles()):
+            scratch.delete(spark, files[0].rpartition("/")[0])
+        del new, before
+        scratch.free_shuffles(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _scores([(v, int(h["vector"]), float(h["score"])) for v, raw in zip(batch.column(0).to_pylist(), batch.column(1)) for h in np.frombuffer(raw.as_buffer(), HIT)])
+
+    return found.mapInArrow(run, "vector long, other long, score double")
 
 
 def _scores(rows: list[tuple]) -> pa.RecordBatch:
@@ -426,13 +453,13 @@ def nearest_neighbours(table: DataFrame, query_every: int = 20, nearest: int = N
     total, axes_of = sum(sizes.values()), {dim: polytopes(n, dim) for dim, n in sizes.items()}
     flat = vectors.select("vector", "dim", F.element_at("ids", 1).alias("first"), "embedding", "queried")
     asked = with_reach(flat.where("queried").drop("queried"), tables, axes_of, {dim: probes or probes_of(n) for dim, n in sizes.items()})
-    found = scratch.written(merged_hits(ranked_blocks(flat, asked, total, axes_of, tables, keep), keep), "ann-found")
-    scratch.free_shuffles(spark)
+    asked = scratch.written(asked, "ann-asked")
+    found = scratch.written(answered(flat, asked, total, axes_of, tables, keep), "ann-found")
 
     per_query = found.groupBy("vector").agg(F.count("*").alias("found"))
     short = scratch.written(flat.where("queried").drop("queried").join(per_query.where(F.col("found") >= keep), "vector", "left_anti"), "ann-short")
     if short.head(1):
-        again = merged_hits(ranked_blocks(flat, short.withColumn("reach", F.array(F.lit(0.0).cast("float"))), total, axes_of, 0, keep), keep)
+        again = answered(flat, short.withColumn("reach", F.array(F.lit(0.0).cast("float"))), total, axes_of, 0, keep)
         found = scratch.written(found.join(short, "vector", "left_anti").unionByName(again), "ann-all")
 
     # What a vector is nearest to, by rows: at most keep * keep; its queries, however many, each leave themselves out.

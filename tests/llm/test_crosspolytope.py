@@ -62,8 +62,8 @@ def test_vectors_are_exchanged_a_few_times_only(spark):
 
 
 def test_copies_in_blocks(spark, monkeypatch):
-    """Vectors in many blocks, queries in many batches, best hits chosen again and again: as brute force, when all is probed."""
-    for name, value in (("LEAST_BLOCK", 40), ("QUERY_BLOCK", 7), ("PAIRS", 50), ("HELD", 100)):
+    """Vectors in many blocks, blocks in passes, queries in many batches, best hits chosen again and again: as brute force, when all is probed."""
+    for name, value in (("CANDIDATE_BLOCK", 30), ("PASS", 2), ("QUERY_BLOCK", 7), ("PAIRS", 50), ("HELD", 100)):
         monkeypatch.setattr(cp, name, value)
     rng = np.random.default_rng(3)
     rows = [(i, [float(c) for c in rng.integers(-2, 3, 3 + i % 2)]) for i in range(300)]
