@@ -23,6 +23,7 @@ def _stage(k: int, f):
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         scratch.release(f"pipeline-{k - 1}")
+        scratch.narrow_batches(spark)
         with scratch.owned_by(f"pipeline-{k}"):
             return f(spark, docs, sf_dir)
 

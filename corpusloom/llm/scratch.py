@@ -15,6 +15,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
 _OWNER = "default"
 _TABLES: dict[str, list[str]] = {}
 _SESSIONS: dict[str, SparkSession] = {}
@@ -47,6 +50,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def narrow_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of the session have about ``BATCH_BYTES`` at most; the JVM and the worker of each task hold a few of them."""
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_CONF))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished, unreferenced jobs."""
     gc.collect()

@@ -6,6 +6,8 @@ text has no bytes.  Nothing here looks across the end of a document.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -14,8 +16,22 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-#: Texts are handled in groups of about so many bytes; a longer text is a group of its own.
-GROUP_BYTES = 2 << 20
+#: Texts are handled in groups of about so many bytes; a longer text is a group of its own.  Arrays take up to a hundred times as much.
+GROUP_BYTES = 1 << 19
+
+
+def settle_allocator() -> None:
+    """Arrays of a group are given out of memory kept for it; those of 8 MB and more go back to the system once they are free.
+
+    By default glibc lifts that limit to 32 MB, after which idle workers keep what their largest arrays took.
+    """
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        mallopt = ctypes.CDLL(None).mallopt
+        mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD
+        mallopt(-1, 32 << 20)  # M_TRIM_THRESHOLD
+
+
+settle_allocator()
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True

@@ -24,6 +24,8 @@ from .textarrays import BYTE_VALUE, SPACE, Spans, Texts, text_groups
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
+#: Bytes of a group of texts: each group with new pieces merges the whole table of pieces.
+ENCODED_BYTES = 1 << 20
 #: Distinct pieces that a worker remembers before it starts anew.
 REMEMBERED = 3_000_000
 
@@ -157,7 +159,7 @@ def encoded_batches(batches: Iterator[pa.RecordBatch], path: str | None, text: s
     """Groups of rows with the ids of their texts and offsets."""
     enc = encoder(path)
     for batch in batches:
-        for group in text_groups(batch.column(text)):
+        for group in text_groups(batch.column(text), ENCODED_BYTES):
             yield batch.slice(group.first, len(group)), *enc.encode(group)
 
 
