@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import scratch
 from corpusloom.llm.decontamination import decontaminated
+from corpusloom.llm.idfilter import without
 from corpusloom.llm.ngramjoin import jaccard_components
 from corpusloom.llm.packing import pack
 from corpusloom.llm.suffixdedup import kept_text
@@ -44,12 +45,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     known = docs.where("doc_id is not null")
     if known.groupBy("doc_id").count().where("count > 1").head(1):
-        kept = _first_of_each_group(known)
-    else:
-        found = jaccard_components(docs)
-        chosen = scratch.written(found.where("doc_id = component_id").select("doc_id"), "kept-ids")
-        kept = known.join(chosen, "doc_id", "left_semi")
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+        return _first_of_each_group(known).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    copies = scratch.written(jaccard_components(docs).where("doc_id != component_id").select("doc_id"), "copies")
+    scratch.free_shuffles(docs.sparkSession)
+    return without(docs, "doc_id", copies)
 
 
 def _first_of_each_group(docs: DataFrame) -> DataFrame:

@@ -39,6 +39,7 @@ from . import scratch
 from .buckets import SCHEMA, by_bucket, dealt, how_many
 from .components import components
 from .countrtree import GROUPS, CountForest, fine_bound, fine_point, needed, point
+from .idfilter import likely
 from .textarrays import U64, constants, mix, shingle_sets, text_groups
 
 PERCENT, WIDTH = 80, 5
@@ -282,7 +283,8 @@ def tree_pairs(members: DataFrame, features: DataFrame, percent: int) -> DataFra
         asking = hot.join(main, "token").where("component != main").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
         queries = asking.join(blocks, ["token", "band"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         parts = parts.unionByName(targets.withColumns({"target": yes, "query": no}).select(*columns)).unionByName(queries.withColumns({"target": no, "query": yes}).select(*columns))
-    pointed = parts.join(wanted(features, able.select("node", "doc").distinct(), "point"), "node").drop("doc")
+    some = likely(features.select("node", "doc_id", "point"), "doc_id", able.select("doc"))
+    pointed = parts.join(wanted(some, able.select("node", "doc").distinct(), "point"), "node").drop("doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -331,7 +333,9 @@ def _placed(pairs: DataFrame, first_doc: DataFrame) -> DataFrame:
 def refined(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, u, v, na, nb, x, y) that pass the bound of their fine points."""
     nodes = pairs.select(F.col("a").alias("node"), F.col("u").alias("doc")).unionByName(pairs.select(F.col("b").alias("node"), F.col("v").alias("doc"))).distinct()
-    fine = scratch.written(wanted(features, nodes, "fine"), "ngram-fine")
+    some = likely(features.select("node", "doc_id", "fine"), "doc_id", pairs.select(F.explode(F.array("u", "v"))))
+    fine = scratch.written(wanted(some, nodes, "fine"), "ngram-fine")
+    scratch.free_shuffles(pairs.sparkSession)
     both = pairs.join(fine.select(F.col("node").alias("a"), F.col("fine").alias("fa")), "a").join(fine.select(F.col("node").alias("b"), F.col("fine").alias("fb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,9 +352,10 @@ def refined(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Edges (u, v) between the components x, y of those pairs of documents (u, v, x, y) whose sets reach the similarity."""
     spark = docs.sparkSession
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = scratch.written(docs.join(ids, "doc_id", "left_semi").repartition(n, "doc_id").dropDuplicates(["doc_id", "text"]), "ngram-texts")
+    texts = scratch.written(likely(docs, "doc_id", ids).join(ids.distinct(), "doc_id", "left_semi").repartition(n, "doc_id").dropDuplicates(["doc_id", "text"]), "ngram-texts")
+    scratch.free_shuffles(spark)
     with_u = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
     both = with_u.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v").select("x", "y", "text_u", "text_v")
 
@@ -415,6 +420,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
             proposed = proposed.join(before.select("a", "b"), ["a", "b"], "left_anti")
         proposed = scratch.written(_placed(proposed.distinct(), first_doc), "ngram-proposed")
         tested.append(proposed)
+        scratch.free_shuffles(spark)
         with scratch.passing() as owner:  # texts and fine points of the pairs
             close = scratch.written(refined(proposed, features, percent), "ngram-close")
             scratch.free_shuffles(spark)

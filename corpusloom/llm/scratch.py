@@ -46,6 +46,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table of the shared folder and read again."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    narrow_heap(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -57,6 +58,18 @@ def narrow_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
 
 
+def narrow_heap(spark: SparkSession) -> None:
+    """Collect the driver's garbage once its heap has grown over half of its limit.
+
+    A collection that is asked for also gives memory back.  Plans leave much
+    garbage and little else, and the JVM would rather grow to its limit.
+    """
+    now = spark._jvm.java.lang.Runtime.getRuntime()
+    if now.totalMemory() > now.maxMemory() // 2:
+        gc.collect()
+        spark._jvm.System.gc()
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished, unreferenced jobs."""
     gc.collect()
