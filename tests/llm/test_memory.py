@@ -1,4 +1,6 @@
+import time
 import tracemalloc
+from types import SimpleNamespace
 
 import corpus_pipeline
 import pyarrow as pa
@@ -35,3 +37,36 @@ def test_stages_get_narrow_arrow_batches(spark):
         assert spark.conf.get(scratch.BATCH_CONF) == "1m"  # a smaller limit stays
     finally:
         spark.conf.set(scratch.BATCH_CONF, before)
+
+
+def test_the_drivers_heap_is_narrowed_while_nothing_is_written(spark):
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    scratch.written(spark.range(3), "watched")
+    held = [spark._jvm.java.nio.ByteBuffer.allocate(heap.maxMemory() // 32) for _ in range(18)]
+    assert heap.totalMemory() > heap.maxMemory() // 2
+    del held  # an action may leave as much, before anything else is written
+    until = time.monotonic() + 60
+    while heap.totalMemory() > heap.maxMemory() // 2 and time.monotonic() < until:
+        time.sleep(0.2)
+    assert heap.totalMemory() <= heap.maxMemory() // 2
+
+
+def test_freed_memory_outside_the_heap_can_be_given_back(spark):
+    assert scratch.trim(spark._jvm)
+
+
+def test_the_watch_ends_with_its_session_and_begins_anew(monkeypatch):
+    monkeypatch.setattr(scratch, "LOOK_S", 0.01)
+    monkeypatch.setattr(scratch, "_WATCHES", [])
+    looks = []
+    monkeypatch.setattr(scratch, "narrow_heap", looks.append)
+    for jvm in ("first", "second"):
+        context = SimpleNamespace(_jvm=jvm, _jsc=object())
+        for _ in range(2):
+            scratch.watch(SimpleNamespace(sparkContext=context))
+        (thread,) = scratch._WATCHES
+        while jvm not in looks:
+            time.sleep(0.01)
+        context._jsc = None  # as SparkContext.stop() leaves it
+        thread.join(10)
+        assert not thread.is_alive()
